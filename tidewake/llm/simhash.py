@@ -24,7 +24,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -212,3 +212,93 @@ def op6_simhash(docs: DataFrame) -> DataFrame:
     first = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(first, "root").select("fp", "component_id")
     return all_docs.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+BINS = 256
+#: Minima in a document, and how many bins make a segment then: three to seven minima each.
+WIDTHS = ((160, 8), (80, 10), (40, 16), (20, 26), (10, 43), (1, 64))
+
+
+def sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One-permutation minima of shingle hashes: which bins have one, and the whole hashes."""
+    ordered = np.sort(hashes)
+    bins, first = np.unique(ordered >> np.uint64(56), return_index=True)
+    return bins.astype(np.int64), ordered[first]
+
+
+def segment_keys(bins: np.ndarray, least: np.ndarray) -> list[int]:
+    """A key for each segment of the ring that has minima: of the width for their number, and of the next where the
+    number is within a quarter of its limit. Each width is laid out twice, half a segment apart."""
+    full = np.zeros(BINS, np.uint64)
+    full[bins] = least
+    n, keys = len(bins), []
+    for k, (limit, width) in enumerate(WIDTHS):
+        upper = WIDTHS[k - 1][0] if k else 10**9
+        if limit * 0.8 <= n < upper * 1.25:
+            for shift in (0, width // 2):
+                ring = np.roll(full, -shift)
+                for a in range(0, BINS, width):
+                    part = ring[a : a + width]
+                    if part.any():
+                        keys.append(xxhash.xxh64_intdigest(part.tobytes(), width * 1000 + shift + a))
+    return keys
+
+
+def near_minima(similarity: float, segments: int = 8) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Members whose share of equal minima is at least `similarity`: viable chains over the ring first, then the whole."""
+
+    def near(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+        either = (one | many) != 0
+        apart = ((one != many) & either).reshape(len(many), segments, -1).sum(axis=2, dtype=np.int32)
+        budget = np.floor((1 - similarity) * either.sum(axis=1)).astype(np.int32)
+        total, start = np.zeros_like(apart), np.ones(apart.shape, bool)
+        for length in range(1, 4):
+            total += np.roll(apart, 1 - length, axis=1)
+            start &= total * segments <= length * budget[:, None]
+        alive = np.flatnonzero(start.any(axis=1))
+        return alive[apart[alive].sum(axis=1) <= budget[alive]]
+
+    return near
+
+
+def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, slack: float = 0.04) -> DataFrame:
+    """doc_id, hash (of the text) and root of every document; documents of one root are near-duplicates.
+
+    The share of equal minima estimates the Jaccard index of the shingle sets with a deviation of about 0.03, so
+    documents link from similarity - slack. Texts with equal minima are one node from the start.
+    """
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sketches, keys = [], [], []
+            for text in batch.column("text").cast(pa.binary()):
+                bins, least = sketch(shingle_hashes(words(text.as_py()), shingle))
+                codes = np.zeros(BINS, np.uint8)
+                codes[bins] = least % np.uint64(255) + np.uint64(1)
+                nodes.append(xxhash.xxh64_intdigest(least.tobytes()))
+                sketches.append(codes.tobytes())
+                keys.append(np.array(segment_keys(bins, least), np.uint64).view(np.int64))
+            made = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), *made], ["doc_id", "hash", "node", "sketch", "keys"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
+    made = written(rows.mapInArrow(run, f"doc_id {kind}, hash bigint, node bigint, sketch binary, keys array<bigint>"))
+    keyed = made.select("node", F.explode("keys").alias("key")).distinct()
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    sketches = made.groupBy("node").agg(F.first("sketch").alias("sketch"))
+    members = keyed.join(shared, "key").join(sketches, "node")
+    decode = lambda batch: np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
+    found = components(links_by_key(members, ["sketch"], "node", decode, near_minima(similarity - slack)))
+    return made.select("doc_id", "hash", F.col("node").alias("own")).join(found, F.col("own") == F.col("node"), "left").select("doc_id", "hash", F.coalesce("root", "own").alias("root"))
+
+
+def stage(docs: DataFrame) -> DataFrame:
+    """One document of each group of near-duplicates: the least by (doc_id, hash of the text); all columns as they are."""
+    groups = near_groups(docs)
+    kept = groups.groupBy("root").agg(F.min(F.struct("doc_id", "hash")).alias("k")).select(F.col("k.doc_id").alias("d_"), F.col("k.hash").alias("h_"))
+    rows = docs.select(F.struct("*").alias("row_"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
+    both = rows.join(kept, rows["doc_id"].eqNullSafe(kept["d_"]) & (rows["hash"] == kept["h_"]), "left_semi")
+    once = Window.partitionBy("doc_id", "hash").orderBy("hash")
+    return both.withColumn("n_", F.row_number().over(once)).filter("n_ = 1").select("row_.*")
