@@ -149,5 +149,5 @@ def stage(docs: DataFrame) -> DataFrame:
     text = F.expr(f"CASE WHEN size(spans) = 0 THEN row_.text ELSE {clean} END")
     out = found.withColumn("row_", F.col("row_").withField("text", text))
     if "n_chars" in docs.columns:
-        out = out.withColumn("row_", F.col("row_").withField("n_chars", F.length("row_.text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("row_", F.col("row_").withField("n_chars", F.when(F.size("spans") > 0, F.length("row_.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row_.n_chars"))))
     return out.select("row_.*")
