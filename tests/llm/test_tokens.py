@@ -111,7 +111,8 @@ def test_packing(spark):
     least = -(-sum(len(ids(t)) + 1 for _, t in texts) // 2048)
     for per_part in (50_000, 40):
         rows = [tuple(r) for r in packing.pack(made, per_part).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset").collect()]
-        assert check_packing(rows, texts) <= least + 1
+        # partitions of 40 pieces can't be as full as whole ones
+        assert check_packing(rows, texts) <= (least + 1 if per_part > 1000 else least * 1.03 + 1)
     check_packing([tuple(r) for r in packing.op4_packing(with_clashes(table(spark))).collect()], TEXTS)
     assert packing.op4_packing(table(spark).limit(0)).collect() == []
 
