@@ -23,12 +23,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .tokens import LIMIT, Encoder, encoder, groups, small_batches, vocabulary
+from .tokens import LIMIT, SPLIT, Encoder, encoder, groups, small_batches, vocabulary
 
 END = 0x400  # added to a character's code where it ends a word
 #: ASCII and the letters of Latin-1 that have one lower-case form: normalising them is lower-casing.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
 class Backtracking(Encoder):
@@ -64,7 +63,6 @@ class Backtracking(Encoder):
             self.finder.add_word(t[::-1], t)
         self.finder.make_automaton()
         self.beside: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, bytes] = {}
         #: What the byte-level pre-tokeniser makes of each letter outside ASCII.
         self.letters = {c: self.library.pre_tokenizer.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100) if c != 0xF7}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None

@@ -20,6 +20,8 @@ LIMIT = 500_000
 #: Texts of ASCII and those letters of Latin-1 that have one lower-case form: lower-casing first changes no id.
 SAFE = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*")
 ODD = re.compile("[\x1c-\x1f]")
+#: How the vocabulary's pre-tokeniser splits a lower-cased piece of such a text.
+SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 _encoders: dict[str, Encoder] = {}
 
 
@@ -41,22 +43,30 @@ class Encoder:
         self.library.no_padding()
         self.known: dict[str, bytes] = {}
 
+        self.words: dict[str, bytes] = {}
+        size = self.library.get_vocab_size()
+        self.ending = np.array([(self.library.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.special = {t.content: n for n, t in self.library.get_added_tokens_decoder().items()}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def fresh(self, pieces: list[str]) -> Iterable[bytes]:
-        """The ids of each piece; many are encoded at once, with a special token between two."""
-        mark, n = next(iter(self.special.items()))
-        plain = [p for p in pieces if not any(t in p for t in self.special)]
-        made = {}
-        for k in range(0, len(plain), 2000):
-            part = plain[k : k + 2000]
-            ids = np.array(self.library.encode_batch_fast([mark.join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = [-1, *np.flatnonzero(ids == n).tolist(), len(ids)]
-            made.update((p, ids[a + 1 : b].tobytes()) for p, a, b in zip(part, ends, ends[1:], strict=False))
-        return (made[p] if p in made else self.whole(p) for p in pieces)
+        """The ids of each piece, from those of its words where it is plain; words met first are encoded many at once.
+
+        Each word's last entry, and no other, is one that ends words; so one long run of ids falls into words again.
+        """
+        plain = {p: SPLIT.findall(p.lower()) for p in pieces if SAFE.fullmatch(p) and "<" not in p}
+        if len(self.words) > LIMIT:
+            self.words.clear()
+        new = [w for w in set().union(*plain.values()) if w not in self.words]
+        if new:
+            ids = np.array(self.library.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.flatnonzero(self.ending[ids]) + 1).tolist()
+            data = ids.tobytes()
+            self.words.update((w, data[4 * a : 4 * b]) for w, a, b in zip(new, [0, *ends[:-1]], ends, strict=True))
+        words = self.words
+        return (b"".join([words[w] for w in plain[p]]) if p in plain else self.whole(p) for p in pieces)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > LIMIT:

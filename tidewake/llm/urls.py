@@ -46,8 +46,9 @@ def templates(pages: DataFrame, many: int = 12, share: float = 0.2) -> DataFrame
     df = pages.withColumn("s_", F.split(F.regexp_replace("path", "^/", ""), "/", LEVELS)).withColumn("template", F.lit(""))
     for level in range(LEVELS):
         seg = F.get("s_", F.lit(level))
-        df = df.withColumn("c_", F.when(seg.rlike(r"^[0-9]+([._-][0-9A-Za-z]+)?$"), "*").otherwise(seg))
-        wide = df.filter("c_ <> '*'").groupBy("host", "template").agg(F.approx_count_distinct("c_").alias("d_"), F.count(F.lit(1)).alias("r_")).filter(f"d_ > {many} AND d_ > {share} * r_")
+        df = df.withColumn("c_", F.when(seg.rlike(r"^[0-9]+([._-][0-9A-Za-z]+)?\z"), "*").otherwise(seg))
+        children = df.filter("c_ <> '*'").groupBy("host", "template", "c_").agg(F.count(F.lit(1)).alias("r_"))
+        wide = children.groupBy("host", "template").agg(F.count(F.lit(1)).alias("d_"), F.sum("r_").alias("r_")).filter(f"d_ > {many} AND d_ > {share}D * r_")
         wide = wide.select(F.col("host").alias("h_"), F.col("template").alias("t_"))
         df = df.join(wide, (df["host"] == wide["h_"]) & (df["template"] == wide["t_"]), "left")
         here = F.when(F.col("h_").isNotNull() & (F.col("c_") != ""), "*").otherwise(F.col("c_"))
@@ -69,7 +70,7 @@ def purities(labelled: DataFrame, weight: float = 4.0) -> DataFrame:
     pooled = both.filter("alike").groupBy("host", "parent").agg(F.sum("n").alias("mn"), F.sum("b").alias("mb"))
     both = both.join(pooled, ["host", "parent"], "left").join(of_host, "host")
     both = both.withColumns({"seen": F.expr("CASE WHEN alike THEN mn ELSE n END"), "bads": F.expr("CASE WHEN alike THEN mb ELSE b END")})
-    return both.select("host", "template", "seen", F.expr(f"(bads + {weight} * hb / hn) / (seen + {weight})").alias("purity"))
+    return both.select("host", "template", "seen", F.expr(f"(bads + {weight}D * hb / hn) / (seen + {weight}D)").alias("purity"))
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, labels: DataFrame | None = None, least: int = 5, purity: float = 0.8) -> DataFrame:
@@ -86,5 +87,35 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, lab
     return out.select("page_id", "host", "path", "rule", F.coalesce("kind", F.when(F.col("h_").isNotNull(), "block").otherwise("allow")).alias("verdict"), "template")
 
 
+def oracle_sql(rules: tuple[tuple[str, str, str], ...] = RULES, many: int = 12, share: float = 0.2, weight: float = 4.0, least: int = 5, purity: float = 0.8) -> str:
+    """judge() without other labels as DuckDB SQL over pages."""
+    ordered = sorted(rules, key=lambda r: -len(r[1] + r[2]))
+    fits = [f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')" for _, h, p in ordered]
+    rule = " ".join(f"WHEN {f} THEN '{h}{p}'" for f, (_, h, p) in zip(fits, ordered, strict=True))
+    kind = " ".join(f"WHEN {f} THEN '{k}'" for f, (k, _, _) in zip(fits, ordered, strict=True))
+    rest = "coalesce(CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END, '')"
+    steps = [
+        f"a AS (SELECT page_id, {rest} AS rest FROM pages)",
+        f"b AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a)",
+        f"t0 AS (SELECT *, CASE {rule} END AS rule, CASE {kind} END AS kind, string_split(regexp_replace(path, '^/', ''), '/') AS s, '' AS template FROM b)",
+    ]
+    for level in range(LEVELS):
+        seg = f"s[{level + 1}]" if level < LEVELS - 1 else f"CASE WHEN len(s) >= {LEVELS} THEN array_to_string(s[{LEVELS}:], '/') END"
+        steps += [
+            f"c{level} AS (SELECT *, CASE WHEN regexp_full_match({seg}, '[0-9]+([._-][0-9A-Za-z]+)?') THEN '*' ELSE {seg} END AS c FROM t{level})",
+            f"w{level} AS (SELECT host AS h, template AS t FROM c{level} WHERE c <> '*' GROUP BY host, template HAVING count(DISTINCT c) > {many} AND count(DISTINCT c) > {share}::DOUBLE * count(*))",
+            f"t{level + 1} AS (SELECT page_id, host, path, rule, kind, s, CASE WHEN c IS NULL THEN template ELSE template || '/' || CASE WHEN h IS NOT NULL AND c <> '' THEN '*' ELSE c END END AS template FROM c{level} LEFT JOIN w{level} ON host = h AND template = t)",
+        ]
+    known, b, n, pb, pn = f"t{LEVELS}", "b::DOUBLE", "n::DOUBLE", "pb::DOUBLE", "pn::DOUBLE"
+    steps += [
+        f"o AS (SELECT host, template, regexp_replace(template, '/[^/]*$', '') AS parent, count(*) AS n, count(*) FILTER (kind = 'block') AS b FROM {known} WHERE kind IS NOT NULL GROUP BY host, template)",
+        "p AS (SELECT *, sum(n) OVER (PARTITION BY host, parent) AS pn, sum(b) OVER (PARTITION BY host, parent) AS pb, sum(n) OVER (PARTITION BY host) AS hn, sum(b) OVER (PARTITION BY host) AS hb FROM o)",
+        f"q AS (SELECT *, abs({b} / {n} - {pb} / {pn}) <= 2 * sqrt(({pb} + 1) / ({pn} + 2) * (1 - ({pb} + 1) / ({pn} + 2)) / {n}) AS alike FROM p)",
+        "r AS (SELECT *, sum(n) FILTER (alike) OVER (PARTITION BY host, parent) AS mn, sum(b) FILTER (alike) OVER (PARTITION BY host, parent) AS mb FROM q)",
+        f"x AS (SELECT host AS h, template AS t FROM r WHERE CASE WHEN alike THEN mn ELSE n END >= {least} AND (CASE WHEN alike THEN mb ELSE b END + {weight}::DOUBLE * hb::DOUBLE / hn::DOUBLE) / (CASE WHEN alike THEN mn ELSE n END + {weight}::DOUBLE) >= {purity}::DOUBLE)",
+    ]
+    return f"WITH {', '.join(steps)} SELECT page_id, host, path, rule, coalesce(kind, CASE WHEN h IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, template FROM {known} LEFT JOIN x ON host = h AND template = t"
+
+
 def op9_urls(pages: DataFrame) -> DataFrame:
     return judge(pages)
