@@ -77,6 +77,8 @@ def test_sort(spark):
     assert [r[1] for r in t.run(p.sort(["c0", "c1"]))] == [2, 6, 1, 8, 5, 0, 3, 7, 4]
     z = t.add("z", [F64, I64], [(0.0, 3), (-0.0, 2), (0.0, 1)])
     assert [r[1] for r in t.run(z.sort(["c0", "c1"]))] == [1, 2, 3]
+    s = t.add("s", [I32, I64], [(i % 3, i) for i in range(50)])
+    assert [r[1] for r in t.run(s.sort([SortKey("c0", True)], stable_by="c1"))] == [i for k in (2, 1, 0) for i in range(50) if i % 3 == k]
     g = t.add("g", [I32, I64], [(1, 10), (2, 20), (1, 30), (3, 5), (2, 7), (1, 1), (3, 9), (2, 3)])
     assert t.run(g.aggregate(["c0"], [sum_("c1", "s")]).sort([SortKey("s", True), "c0"])) == [(1, 41), (2, 30), (3, 14)]
 
