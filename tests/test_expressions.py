@@ -108,3 +108,26 @@ def test_the_callers_ansi_setting_is_left(spark):
     p = t.add("t", [I32], [(2**31 - 1,)])
     assert t.run(p.project([("a", add(col(I32, 0), lit(I32, 1)))])) == [(-(2**31),)]
     assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+
+
+def test_filters_with_nan_and_null(spark):
+    t = Tables(spark)
+    v = [None, NAN, 1.0, 2.0]
+    p = t.add("t", [F64, F64], [(a, b) for a in v for b in v])
+    a, b = col(F64, 0), col(F64, 1)
+    for f in (eq, lt, le, gt, ge, ne):
+        for x, y in ((a, b), (a, lit(F64, 1.0)), (lit(F64, 1.0), b), (a, lit(F64, NAN)), (a, lit(F64))):
+            plan = p.filter(f(x, y))
+            same(t.run(plan), t.golden(plan))
+            plan = p.filter(logic_or(logic_not(f(x, y)), logic_and(f(y, x), gt(b, a))))
+            same(t.run(plan), t.golden(plan))
+
+
+def test_comparisons_reach_the_scan(spark, capsys):
+    from tidewake.operators.lower import to_df
+    from tidewake.queries import plans
+    from tidewake.sources.tables import load
+
+    to_df(plans()["filter_group_sort"], spark, load(spark, "/root/testdata/sf0.001", ["lineitem"])).explain("formatted")
+    shown = capsys.readouterr().out
+    assert "GreaterThan(l_quantity,0.0)" in shown and "ReadSchema: struct<l_suppkey:bigint,l_quantity:double>" in shown

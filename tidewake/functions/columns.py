@@ -59,3 +59,24 @@ def _cast(x: Column, source: Type, to: Type) -> Column:
         low, high = RANGES[to]
         return F.when((x >= F.lit(low)) & (x < F.lit(high)), x.cast("int"))
     return x.cast(to.spark)
+
+
+def truth(e: Expr) -> Column:
+    """A column that is true where e is; where e is false or null it is either.
+
+    That is all a filter asks, and it leaves comparisons bare, so that they reach the scan. As NaN is Spark's greatest
+    value, `<` needs a guard on its right side only, `>` on its left side, `=` and `!=` on one of the two.
+    """
+    if e.kind in ("and", "or"):
+        return _OPS[e.kind](truth(e.args[0]), truth(e.args[1]))
+    if e.kind not in COMPARISON or e.args[0].type is not Type.F64:
+        return column(e)
+    a, b = map(column, e.args)
+    sure = [x.kind == "literal" and x.value == x.value for x in e.args]
+    out = _OPS[e.kind](a, b)
+    if e.kind == "ne":
+        return out if any(sure) else out | (F.isnan(a) & F.isnan(b))
+    if e.kind == "eq":
+        return out if any(sure) else out & ~F.isnan(a)
+    side = 1 if e.kind in ("lt", "le") else 0
+    return out if sure[side] else out & ~F.isnan((a, b)[side])

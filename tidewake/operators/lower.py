@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.functions.columns import column
+from tidewake.functions.columns import column, truth
 from tidewake.plans.plan import Agg, Node, Plan
 from tidewake.session import wrapping
 from tidewake.sources.tables import positional
@@ -50,7 +50,7 @@ def _lower(node: Node, tables: dict[str, DataFrame]) -> DataFrame:
     if node.kind in ("scan", "compressed_scan"):
         return positional(tables[node.table], node.schema)
     if node.kind == "filter":
-        return below[0].filter(column(node.exprs[0]))
+        return below[0].filter(truth(node.exprs[0]))
     if node.kind == "project":
         return below[0].select(*[column(e).alias(f"o{i}") for i, e in enumerate(node.exprs)])
     if node.kind == "aggregate":
