@@ -39,7 +39,7 @@ def test_simhash(spark):
     assert simhash.op6_simhash(table(spark).limit(0)).collect() == []
 
 
-def test_no_link_between_fingerprints_is_lost(spark):
+def test_no_link_between_fingerprints_is_lost(spark, monkeypatch):
     rng = np.random.default_rng(1)
     base, known = rng.integers(0, 1 << 63, 60, dtype=np.uint64), set()
     for i in range(900):
@@ -52,6 +52,9 @@ def test_no_link_between_fingerprints_is_lost(spark):
     got = {r.node: r.root for r in components.components(simhash.near_fingerprints(df)).collect()}
     want = grouped([(signed(a), signed(b)) for a in known for b in known if (a ^ b).bit_count() <= 3], [signed(v) for v in known])
     assert {v: got.get(v, v) for v in want} == want
+    monkeypatch.setattr(simhash.crowded, "__defaults__", (5,))  # keys of more than five members in blocks
+    got = {r.node: r.root for r in components.components(simhash.near_fingerprints(df)).collect()}
+    assert {v: got.get(v, v) for v in want} == want
     x = np.array(sorted(known), np.uint64)
     plain = grouped(simhash.grown(x, simhash.near_bits(3)), range(len(x)))
     assert grouped(simhash.grown_in_blocks(x, simhash.near_bits(3), 64), range(len(x))) == plain

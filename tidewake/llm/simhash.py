@@ -8,8 +8,9 @@ of 32 bits (8 starts x 3 pairs), and only fingerprints under one key are compare
 
 Equal fingerprints are one row from the start. Under a key, members are linked by growing groups: each member met is
 compared, vectorised, with those not yet reached, so a key of g near copies costs about g comparisons and g - 1 links,
-not g^2; a key of more than BLOCK members is taken in blocks, pair of blocks by pair, each against what is not yet
-joined. Components of the links are found by star steps over written tables.
+not g^2. Keys with one member are dropped before anything is compared; the members of a key with more than CROWD are
+dealt to blocks by hash, and each pair of blocks is a key of its own, so a task holds two blocks at most and no pair of
+members is lost. Components of the links are found by star steps over written tables.
 
 `near_groups`, for the pipeline, links whole documents at a Jaccard index of 0.8 or more of their five-word shingles. At
 that similarity 64-bit SimHash fingerprints differ in up to 14 bits (README), beyond any selective index, so its sketch
@@ -33,6 +34,8 @@ from .tokens import small_batches
 
 SEED = 42
 BLOCK = 4096
+#: Members of one key that a task holds at most twice of.
+CROWD = 50_000
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -154,8 +157,21 @@ def near_bits(differences: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray
     return lambda one, many: within(bits_apart(one, many), differences)
 
 
+def crowded(keyed: DataFrame, member: str, crowd: int = CROWD) -> DataFrame:
+    """key and member of keys that have two members or more; keys of more than `crowd` as pairs of blocks.
+
+    The counts are a table, so that the join's sides are plain exchanges and a large key is split over tasks.
+    """
+    counts = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    both = keyed.join(counts, "key").withColumn("blocks", F.ceil(F.col("n") / crowd).cast("int"))
+    own = F.pmod(F.xxhash64(F.lit("block"), member), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.xxhash64("key", F.least("own", k), F.greatest("own", k)))
+    spread = F.when(F.col("blocks") == 1, F.array("key")).otherwise(pairs)
+    return both.withColumn("own", own).select(member, F.explode(spread).alias("key"))
+
+
 def links_by_key(keyed: DataFrame, columns: list[str], member: str, decode: Callable, near: Callable) -> DataFrame:
-    """Links (a, b) between members under one key.
+    """Links (a, b) between members under one key (see crowded).
 
     Rows are sorted by key within partitions and read as a stream; what a task holds is one key's sketches.
     """
@@ -199,7 +215,7 @@ def near_fingerprints(fps: DataFrame, differences: int = 3) -> DataFrame:
     sets = ring_keys(differences)
     # a key's segments and its number, hashed to 64 bits: where two keys meet by chance the comparison tells them apart
     keys = [F.xxhash64(F.lit(n), *(segment(k) for k in at)) for n, at in enumerate(sets)]
-    keyed = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
+    keyed = crowded(fps.select("fp", F.explode(F.array(*keys)).alias("key")), "fp")
     return links_by_key(keyed, [], "fp", lambda batch: batch.column("fp").to_numpy().view(np.uint64), near_bits(differences))
 
 
@@ -285,10 +301,8 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, slac
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
     made = written(rows.mapInArrow(run, f"doc_id {kind}, hash bigint, node bigint, sketch binary, keys array<bigint>"))
-    keyed = made.select("node", F.explode("keys").alias("key")).distinct()
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    sketches = made.groupBy("node").agg(F.first("sketch").alias("sketch"))
-    members = keyed.join(shared, "key").join(sketches, "node")
+    nodes = written(made.groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("keys").alias("keys")))
+    members = crowded(nodes.select("node", F.explode("keys").alias("key")), "node").join(nodes.select("node", "sketch"), "node")
     decode = lambda batch: np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
     found = components(links_by_key(members, ["sketch"], "node", decode, near_minima(similarity - slack)))
     return made.select("doc_id", "hash", F.col("node").alias("own")).join(found, F.col("own") == F.col("node"), "left").select("doc_id", "hash", F.coalesce("root", "own").alias("root"))
