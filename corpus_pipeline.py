@@ -7,34 +7,43 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewake.llm import packing, passages, pii, quality, simhash
-from tidewake.llm.shared import documents, written
+from tidewake.llm.shared import documents, recorded, release, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Folders of the stages called so far. As each stage's result is written before the next stage is called, what the next
+#: one's docs don't read can go then.
+_folders: list[str] = []
+
+
+def _clean(docs: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    release(docs, _folders)
+    with recorded(_folders):
+        return operator(docs)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or lie beyond their group's fences go."""
-    return quality.stage(docs)
+    return _clean(docs, quality.stage)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity of 0.8 or more) stays."""
-    return simhash.stage(docs)
+    return _clean(docs, simhash.stage)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that an earlier document has too are cut out."""
-    return passages.stage(docs)
+    return _clean(docs, passages.stage)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of personal data are replaced by their kind."""
-    return pii.stage(docs)
+    return _clean(docs, pii.stage)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, as pieces packed into sequences."""
-    return packing.op4_packing(docs)
+    return _clean(docs, packing.op4_packing)
 
 
 STAGES: list[tuple[str, Stage]] = [

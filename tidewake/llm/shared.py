@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,31 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Where a caller wants to know which folders are made: see recorded().
+_record: list[str] | None = None
+
+
+@contextmanager
+def recorded(folders: list[str]) -> Iterator[None]:
+    """While it holds, folders made by scratch() are added to folders."""
+    global _record
+    _record = folders
+    try:
+        yield
+    finally:
+        _record = None
+
+
+def release(docs: DataFrame, folders: list[str]) -> None:
+    """Delete those folders that docs does not read, and take them from the list."""
+    read = docs.inputFiles()
+    jvm = docs.sparkSession.sparkContext._jvm
+    for path in [f for f in folders if not any(f.rpartition("/")[2] in r for r in read)]:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(docs.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        folders.remove(path)
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder below the one that the session names in spark.checkpoint.dir.
 
@@ -29,6 +56,8 @@ def scratch(spark: SparkSession) -> str:
             base = "file://" + tempfile.mkdtemp(prefix="tidewake-")
             spark.conf.set("tidewake.scratch", base)
     path = f"{base.rstrip('/')}/tidewake-{uuid.uuid4().hex}"
+    if _record is not None:
+        _record.append(path)
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
