@@ -80,7 +80,8 @@ def fences(counted: DataFrame, least: int = 200, spread: float = 6.0) -> DataFra
 def judge(docs: DataFrame, least: int = 200, spread: float = 6.0, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in keep, lang, source, COUNTS, base_failed and kept of every document. A group whose documents all fail the base rules has no fences and needs none."""
     counted = written(measured(docs).select(*keep, "lang", "source", *COUNTS))
-    limits = fences(counted, least, spread)
+    # written, so that its size is known: Spark broadcasts it under its threshold, and exchanges no text for it then
+    limits = written(fences(counted, least, spread))
     beyond = [f"coalesce({sql} > {k}_most, false) OR coalesce({sql} < {k}_least, false)" for k, (sql, _, _) in RATIOS.items()]
     seen = counted.join(limits, counted["lang"].eqNullSafe(limits["lang_"]) & counted["source"].eqNullSafe(limits["source_"]), "left")
     # divisions are safe: a document without words fails the base rules, and CASE stops there
