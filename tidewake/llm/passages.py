@@ -222,6 +222,7 @@ def _fetched(docs: DataFrame, chained: DataFrame) -> DataFrame:
     # a source's requests stay apart by document, so that no list grows with the number of copies
     asked = own.unionByName(other).withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(4096)))
     asked = written(asked.groupBy("id", "salt").agg(F.collect_list(F.struct("doc", "a", "src", "side", "low", "high")).alias("asks")))
+    # a merge join at every size, as its right side grows with the input
     text = docs.select(F.col("doc").alias("id"), "hash", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +237,7 @@ def _fetched(docs: DataFrame, chained: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, SLICES)
 
-    return text.join(asked.select("id", "asks"), "id").mapInArrow(run, "doc bigint, a int, src bigint, side int, hash bigint, low int, codes binary")
+    return text.join(asked.select("id", "asks").hint("merge"), "id").mapInArrow(run, "doc bigint, a int, src bigint, side int, hash bigint, low int, codes binary")
 
 
 SLICES = pa.schema([("doc", pa.int64()), ("a", pa.int32()), ("src", pa.int64()), ("side", pa.int32()), ("hash", pa.int64()), ("low", pa.int32()), ("codes", pa.binary())])
@@ -303,7 +304,7 @@ def stage(docs: DataFrame) -> DataFrame:
     """docs without their repeated passages, n_chars (where there is one) made to fit; rows with no word left go."""
     found = written(passages(docs)).groupBy(F.col("doc_id").alias("d_"), F.col("hash").alias("h_")).agg(F.collect_set(F.struct("start_word", "end_word")).alias("ranges_"))
     rows = docs.select(F.struct("*").alias("row_"), F.col("doc_id").cast("long").alias("k_"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("x_"))
-    both = rows.join(found, (rows["k_"] == found["d_"]) & (rows["x_"] == found["h_"]), "left").select("row_", "ranges_")
+    both = rows.join(found.hint("merge"), (rows["k_"] == found["d_"]) & (rows["x_"] == found["h_"]), "left").select("row_", "ranges_")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
