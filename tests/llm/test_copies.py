@@ -136,6 +136,21 @@ def test_passages(spark):
     assert {r.source_id for r in rows if r.doc_id == 40} == {0}
 
 
+def test_passages_of_repeated_words_and_lines(spark):
+    rng = random.Random(12)
+    line = prose(rng, 12)
+    stretches = [["word"] * 140, ["one", "two"] * 45, line * 8, ["word"] * 60, prose(rng, 50)]
+    texts = [(k, prose(rng, 40) + x + prose(rng, 40)) for k, x in enumerate(stretches)]
+    texts += [(10, prose(rng, 30) + ["word"] * 300), (11, ["two", "one"] * 30), (12, line[5:] + line * 6 + prose(rng, 9)), (13, list(texts[0][1])), (14, stretches[4] + prose(rng, 70))]
+    texts = [(d, " ".join(w)) for d, w in texts]
+    got = collections.defaultdict(set)
+    for r in passages.op2_passages(table(spark, texts)).collect():
+        got[r.doc_id].update(range(r.start_word, r.end_word))
+    assert set(got) == {3, 10, 11, 12, 13, 14}
+    for d, words in exact(texts).items():
+        assert words <= got[d], d
+
+
 def test_passages_are_cut(spark):
     texts = planted()
     left = {r.doc_id: r for r in passages.stage(with_clashes(table(spark, texts))).collect()}

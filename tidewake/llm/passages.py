@@ -1,12 +1,13 @@
 """Substring dedup by collinear chaining: passages of 50 words or more that stand in an earlier document too.
 
 1. Seeds: of each run of 16 hashes of 8 consecutive words the least is kept with its place, so that any 23 equal words
-   share a seed.
+   share a seed. A seed that comes again within PERIOD words (a repeated word or line) is told apart by its number
+   in the stretch, counted round so that any LEAST words of such a stretch hold every number.
 2. Links: for each seed the first document that has it (least doc_id) is found by partial aggregation and joined back.
    Every other occurrence links to that one alone, so a passage in d documents makes d - 1 links, not d^2. The joined
    tables are plain exchanges, so that a seed with very many occurrences is split over tasks.
 3. Chains: the links of a document to one source are chained in order, with a cost linear in the gaps, through a
-   Fenwick tree of prefix maxima. A document's links are bounded by its text.
+   Fenwick tree of prefix maxima. A chain may be one link. A document's links are bounded by its text.
 4. Alignment: for chained regions only, word hashes of both texts are fetched. Gaps between seeds are aligned by longest
    common subsequence, ends extended while matches outweigh mismatches. Aligned stretches of a document that touch are
    joined, also from different sources; those of 50 words or more are passages.
@@ -32,7 +33,9 @@ from .simhash import words
 from .tokens import small_batches
 
 GRAM, WINDOW, LEAST = 8, 16, 50
-GAP_COST, GAP, MARGIN, JOIN = 0.1, 32, 40, 2
+GAP_COST, GAP, MARGIN, JOIN = 0.1, 32, LEAST, 2
+#: The longest distance at which equal seeds are one periodic stretch: at least two of them lie in LEAST words then.
+PERIOD = (LEAST - GRAM + 1) // 2
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -64,7 +67,26 @@ def seeds(codes: np.ndarray, k: int = GRAM, w: int = WINDOW) -> tuple[np.ndarray
         grams ^= grams >> np.uint64(29)
     least = np.lib.stride_tricks.sliding_window_view(grams, min(w, n)).argmin(axis=1)
     at = np.unique(least + np.arange(len(least)))
-    return grams[at], at
+    return numbered(grams)[at], at
+
+
+def numbered(grams: np.ndarray) -> np.ndarray:
+    """Hashes of k-grams and, where the same one came within PERIOD words before, of their number in that stretch.
+
+    Numbers start again after as many as any LEAST words of the stretch hold, so that a stretch which is longer than
+    its source's links all along, over and over to the source's beginning.
+    """
+    order = np.argsort(grams, kind="stable")
+    apart = np.diff(order)
+    again = np.concatenate([[False], (grams[order][1:] == grams[order][:-1]) & (apart <= PERIOD)])
+    if not again.any():
+        return grams
+    step = np.arange(len(order))
+    number = step - np.maximum.accumulate(np.where(again, 0, step))
+    number[1:] %= (LEAST - GRAM + 1) // np.where(again[1:], apart, 1)
+    out = grams.copy()
+    out[order] ^= number.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    return out
 
 
 def chains(pos: np.ndarray, source: np.ndarray) -> list[list[int]]:
@@ -182,7 +204,7 @@ def _links(docs: DataFrame) -> DataFrame:
 
 
 def _chained(links: DataFrame) -> DataFrame:
-    """doc, src, a (number of the chain in the document), pos and spos (arrays) of chains of two anchors or more."""
+    """doc, src, a (number of the chain in the document), pos and spos (arrays) of chains."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, number = None, [], 0
@@ -191,7 +213,7 @@ def _chained(links: DataFrame) -> DataFrame:
             nonlocal number
             if key is not None:
                 pos, source = (np.concatenate(x).astype(np.int64) for x in zip(*held, strict=True))
-                made = [(sorted(pos[c].tolist()), sorted(source[c].tolist())) for c in chains(pos, source) if len(c) > 1]
+                made = [(sorted(pos[c].tolist()), sorted(source[c].tolist())) for c in chains(pos, source)]
                 if made:
                     n = len(made)
                     yield pa.RecordBatch.from_arrays([pa.array([key[0]] * n, pa.int64()), pa.array([key[1]] * n, pa.int64()), pa.array(range(number, number + n), pa.int32()), pa.array([p for p, _ in made], pa.list_(pa.int32())), pa.array([s for _, s in made], pa.list_(pa.int32()))], ["doc", "src", "a", "pos", "spos"])
