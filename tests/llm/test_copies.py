@@ -151,6 +151,30 @@ def test_passages_of_repeated_words_and_lines(spark):
         assert words <= got[d], d
 
 
+def test_passages_with_changed_words():
+    rng = np.random.default_rng(6)
+    text = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64)
+
+    def found(length, every):
+        one = text(length)
+        two = one.copy()
+        at = np.arange(rng.integers(every), length, every)
+        two[at] = text(len(at))
+        one, two = (np.concatenate([text(60), x, text(60)]) for x in (one, two))
+        (h, s), (g, p) = passages.seeds(one), passages.seeds(two)
+        pos, source = (np.array(x) for x in zip(*[(b, a) for x, a in zip(h, s, strict=True) for y, b in zip(g, p, strict=True) if x == y], strict=True)) if np.isin(g, h).any() else ([], [])
+        made = passages.chains(pos, source) if len(pos) else []
+        stretches = {(a, e, 0, c) for x in made for a, e, c in passages.aligned(two.tolist(), one.tolist(), sorted(pos[x].tolist()), sorted(source[x].tolist()))}
+        return bool(passages.joined(sorted(stretches)))
+
+    for length in (60, 80, 120):
+        for every, least in ((15, 97), (12, 94)):
+            assert sum(found(length, every) for _ in range(100)) >= least, (length, every)
+    run = text(13)  # any 13 equal words share a seed
+    one, two = (np.concatenate([text(30), run, text(30)]) for _ in range(2))
+    assert np.isin(passages.seeds(one)[0], passages.seeds(two)[0]).any()
+
+
 def test_passages_are_cut(spark):
     texts = planted()
     left = {r.doc_id: r for r in passages.stage(with_clashes(table(spark, texts))).collect()}

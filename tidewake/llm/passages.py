@@ -1,7 +1,8 @@
 """Substring dedup by collinear chaining: passages of 50 words or more that stand in an earlier document too.
 
-1. Seeds: of each run of 16 hashes of 8 consecutive words the least is kept with its place, so that any 23 equal words
-   share a seed. A seed that comes again within PERIOD words (a repeated word or line) is told apart by its number
+1. Seeds: of the runs of 8 consecutive words those are kept whose least pair of neighbours stands at their beginning or
+   end (closed syncmers: 2 of 7 in text without repeats). What is kept depends on the 8 words alone, so that changed
+   words beside them take no seed away, and any 13 equal words share one. A seed that comes again within PERIOD words (a repeated word or line) is told apart by its number
    in the stretch, counted round so that any LEAST words of such a stretch hold every number.
 2. Links: for each seed the first document that has it (least doc_id) is found by partial aggregation and joined back.
    Every other occurrence links to that one alone, so a passage in d documents makes d - 1 links, not d^2. The joined
@@ -32,7 +33,7 @@ from .shared import partitions, written
 from .simhash import words
 from .tokens import small_batches
 
-GRAM, WINDOW, LEAST = 8, 16, 50
+GRAM, PAIR, LEAST = 8, 2, 50
 GAP_COST, GAP, MARGIN, JOIN = 0.1, 32, LEAST, 2
 #: The longest distance at which equal seeds are one periodic stretch: at least two of them lie in LEAST words then.
 PERIOD = (LEAST - GRAM + 1) // 2
@@ -56,18 +57,27 @@ def word_hashes(text: bytes | None) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, words(text)), np.uint64)
 
 
-def seeds(codes: np.ndarray, k: int = GRAM, w: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of the kept k-grams of words."""
+def runs(codes: np.ndarray, k: int) -> np.ndarray:
+    """The hash of each run of k words."""
     n = len(codes) - k + 1
-    if n < 1:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    grams = np.zeros(n, np.uint64)
+    out = np.zeros(n, np.uint64)
     for j in range(k):
-        grams = (grams ^ codes[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
-        grams ^= grams >> np.uint64(29)
-    least = np.lib.stride_tricks.sliding_window_view(grams, min(w, n)).argmin(axis=1)
-    at = np.unique(least + np.arange(len(least)))
-    return numbered(grams)[at], at
+        out = (out ^ codes[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def seeds(codes: np.ndarray, k: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the kept k-grams of words."""
+    if len(codes) < k:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    pairs, last = runs(codes, PAIR), k - PAIR
+    n = len(pairs) - last
+    least = pairs[:n]
+    for j in range(1, last + 1):
+        least = np.minimum(least, pairs[j : j + n])
+    at = np.flatnonzero((pairs[:n] == least) | (pairs[last:] == least))
+    return numbered(runs(codes, k))[at], at
 
 
 def numbered(grams: np.ndarray) -> np.ndarray:
