@@ -85,6 +85,20 @@ def test_quality_rejects_outliers_only(spark):
     assert all(got[d] for d, _ in plain) and not any(got[d] for d, _ in noisy)
 
 
+def test_quality_fences_follow_the_quantiles(spark):
+    rng = random.Random(8)
+    text = lambda n: [rng.choice("abcdefgh") * 2 + f"{rng.randint(100, 999)}" for _ in range(n)]
+    plain = [(i, " ".join(text(100))) for i in range(400)]
+    longer = [(1000 + i, " ".join(x + "yy" for x in text(100))) for i in range(4)]
+    symbols = [(1010 + i, " ".join(text(98)) + " ## %%%% $$$$$$") for i in range(4)]
+    repeats = [(1020 + i, " ".join(text(82) + w + w)) for i, w in enumerate(text(9) for _ in range(4))]  # 18 %: the base rules let it pass
+    rows = {r.doc_id: r for r in rules.op7_quality(table(spark, plain + longer + symbols + repeats)).collect()}
+    assert not any(r.base_failed for r in rows.values())
+    assert sum(rows[d].kept for d, _ in plain) >= 398
+    for part in (longer, symbols, repeats):
+        assert not any(rows[d].kept for d, _ in part)
+
+
 def test_urls(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     assert urls.op9_urls(pages).count() == pages.count()

@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 from .shared import SPACE, let, text_of, written
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Ratio: (SQL, least distance of the fence from the median, whether low values are outliers too).
+#: Ratio: (SQL, quantile that sets the fence, times its distance from the median, floor of that where the group has
+#: (nearly) no spread, whether low values are outliers too). Most documents have none of what the last three count, so
+#: quartiles say nothing about them; symbols are 0 or many, so a higher quantile would lie among those to be rejected.
 RATIOS = {
-    "q_word_len": ("word_chars / n_words", 3.5, True),
-    "q_symbols": ("n_symbols / word_chars", 0.05, False),
-    "q_dup_lines": ("n_dup_lines / n_words", 0.05, False),
-    "q_repeats": ("n_repeat_words / n_words", 0.2, False),
+    "q_word_len": ("word_chars / n_words", 0.75, 6.0, 0.1, True),
+    "q_symbols": ("n_symbols / word_chars", 0.9, 3.0, 0.01, False),
+    "q_dup_lines": ("n_dup_lines / n_words", 0.95, 3.0, 0.01, False),
+    "q_repeats": ("n_repeat_words / n_words", 0.95, 3.0, 0.02, False),
 }
 WINDOW = 5
 
@@ -55,34 +57,34 @@ def base_failed() -> F.Column:
     return F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words")
 
 
-def fences(counted: DataFrame, least: int = 200, spread: float = 6.0) -> DataFrame:
+def fences(counted: DataFrame, least: int = 200, spread: float = 1.0) -> DataFrame:
     """One row for each (lang, source): the fences of every ratio.
 
-    A fence lies `spread` times the distance between median and quartile from the median, or its least distance where
-    that is more. Only documents that pass the base rules are counted.
+    A fence lies as far from the median as RATIOS says, times `spread`: a multiple of the distance between the median
+    and a quantile, or the floor where that is more. Only documents that pass the base rules are counted.
     """
     good = counted.filter(~base_failed() & (F.col("word_chars") > 0))
-    fine = good.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(F.expr(f"CAST({sql} AS DOUBLE)")).alias(k) for k, (sql, _, _) in RATIOS.items()])
+    fine = good.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(F.expr(f"CAST({sql} AS DOUBLE)")).alias(k) for k, (sql, *_) in RATIOS.items()])
     fine = written(fine)
     merged = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(k).alias(k) for k in RATIOS]]
     of_lang = fine.groupBy("lang").agg(*merged).select("lang", F.col("n").alias("n_lang"), *[F.col(k).alias(f"{k}_lang") for k in RATIOS])
     of_all = fine.agg(*merged).select(F.col("n").alias("n_all"), *[F.col(k).alias(f"{k}_all") for k in RATIOS])
     one = fine.join(of_lang, fine["lang"].eqNullSafe(of_lang["lang"])).drop(of_lang["lang"]).join(F.broadcast(of_all))  # of_all is one row
     out = [F.col("lang").alias("lang_"), F.col("source").alias("source_")]
-    for k, (_, apart, both) in RATIOS.items():
+    for k, (_, high, times, floor, both) in RATIOS.items():
         sketch = f"CASE WHEN n >= {least} THEN {k} WHEN n_lang >= {least} THEN {k}_lang ELSE {k}_all END"
-        q = f"kll_sketch_get_quantile_double({sketch}, array(0.25D, 0.5D, 0.75D))"
-        out.append(F.expr(let(q, "q", f"q[1] + greatest({apart}D, {spread}D * (q[2] - q[1]))")).alias(f"{k}_most"))
-        out.append(F.expr(let(q, "q", f"q[1] - greatest({apart}D, {spread}D * (q[1] - q[0]))") if both else "CAST(NULL AS DOUBLE)").alias(f"{k}_least"))
+        q = f"kll_sketch_get_quantile_double({sketch}, array({1 - high:.2f}D, 0.5D, {high}D))"
+        out.append(F.expr(let(q, "q", f"q[1] + {spread}D * greatest({floor}D, {times}D * (q[2] - q[1]))")).alias(f"{k}_most"))
+        out.append(F.expr(let(q, "q", f"q[1] - {spread}D * greatest({floor}D, {times}D * (q[1] - q[0]))") if both else "CAST(NULL AS DOUBLE)").alias(f"{k}_least"))
     return one.select(*out)
 
 
-def judge(docs: DataFrame, least: int = 200, spread: float = 6.0, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def judge(docs: DataFrame, least: int = 200, spread: float = 1.0, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in keep, lang, source, COUNTS, base_failed and kept of every document. A group whose documents all fail the base rules has no fences and needs none."""
     counted = written(measured(docs).select(*keep, "lang", "source", *COUNTS))
     # written, so that its size is known: Spark broadcasts it under its threshold, and exchanges no text for it then
     limits = written(fences(counted, least, spread))
-    beyond = [f"coalesce({sql} > {k}_most, false) OR coalesce({sql} < {k}_least, false)" for k, (sql, _, _) in RATIOS.items()]
+    beyond = [f"coalesce({sql} > {k}_most, false) OR coalesce({sql} < {k}_least, false)" for k, (sql, *_) in RATIOS.items()]
     seen = counted.join(limits, counted["lang"].eqNullSafe(limits["lang_"]) & counted["source"].eqNullSafe(limits["source_"]), "left")
     # divisions are safe: a document without words fails the base rules, and CASE stops there
     verdict = F.expr(f"CASE WHEN n_words < 10 OR 100 * n_repeat_words > 20 * n_words THEN false ELSE NOT ({' OR '.join(beyond)}) END")
