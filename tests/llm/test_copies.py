@@ -86,6 +86,27 @@ def test_near_groups(spark):
     assert simhash.stage(table(spark, TEXTS).limit(0)).collect() == []
 
 
+def test_near_groups_are_exact(spark):
+    rng = random.Random(21)
+    texts, sets = [], []
+    for _ in range(30):
+        base = prose(rng, 400)
+        for changes in (0, 5, 7, 9, 10, 11, 12, 14):  # 5 shingles each: similarities of 0.70 to 0.88
+            w = list(base)
+            for at in range(changes):
+                w[10 + at * 25] = prose(rng, 1)[0] + "x"
+            texts.append((len(texts), " ".join(w)))
+            sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    pairs = [(a, b) for g in range(0, len(sets), 8) for a in range(g, g + 8) for b in range(a) if b >= g and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    got = collections.defaultdict(set)
+    for r in simhash.near_groups(table(spark, texts)).collect():
+        got[r.root].add(r.doc_id)
+    want = collections.defaultdict(set)
+    for d, top in grouped(pairs, range(len(texts))).items():
+        want[top].add(d)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
 def exact(texts, n=50):
     """Words of each document (ids are unique) in runs of n that an earlier one has."""
     first, out = {}, {}

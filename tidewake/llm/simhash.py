@@ -15,7 +15,8 @@ members is lost. Components of the links are found by star steps over written ta
 `near_groups`, for the pipeline, links whole documents at a Jaccard index of 0.8 or more of their five-word shingles. At
 that similarity 64-bit SimHash fingerprints differ in up to 14 bits (README), beyond any selective index, so its sketch
 is a ring of 256 minima of shingle hashes (one-permutation hashing), its segments are runs of minima, and the same
-chains, budgets and group growing apply to bytes instead of bits.
+chains, budgets and group growing apply to bytes instead of bits. Its links are candidates only: within each of their
+components the Jaccard index of the whole shingle sets decides.
 """
 
 from __future__ import annotations
@@ -277,11 +278,39 @@ def near_minima(similarity: float, segments: int = 8) -> Callable[[np.ndarray, n
     return near
 
 
-def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, slack: float = 0.04) -> DataFrame:
+def near_shingles(similarity: float, slack: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Members (sketch, then distinct shingle hashes in order, as bytes) with a Jaccard index of at least `similarity`.
+
+    Only those whose sketches come within `slack` of it are compared in full.
+    """
+    close = near_minima(similarity - slack)
+
+    def near(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+        rings = [np.frombuffer(b"".join(x[:BINS] for x in side), np.uint8).reshape(-1, BINS) for side in (one, many)]
+        mine = np.frombuffer(one[0], np.uint64, offset=BINS)
+        hits = []
+        for k in close(*rings).tolist():
+            other = np.frombuffer(many[k], np.uint64, offset=BINS)
+            fewer, more = sorted((mine, other), key=len)
+            if len(fewer) >= similarity * len(more):
+                both = int((more[np.minimum(np.searchsorted(more, fewer), len(more) - 1)] == fewer).sum())
+                if both >= similarity * (len(mine) + len(other) - both) - 1e-9:
+                    hits.append(k)
+        return np.array(hits, np.int64)
+
+    return near
+
+
+#: Members of one component of candidates that a task holds at most twice of, as each has its whole shingle set.
+CROWD_OF_SETS = 10_000
+
+
+def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, slack: float = 0.1) -> DataFrame:
     """doc_id, hash (of the text) and root of every document; documents of one root are near-duplicates.
 
-    The share of equal minima estimates the Jaccard index of the shingle sets with a deviation of about 0.03, so
-    documents link from similarity - slack. Texts with equal minima are one node from the start.
+    The share of equal minima estimates the Jaccard index of the shingle sets with a deviation of about 0.025, so
+    candidates link from similarity - slack. Their shingle sets then come together by component of candidates, and
+    those with an index of `similarity` or more are linked. Texts with equal shingle sets are one node from the start.
     """
     small_batches(docs.sparkSession)
 
@@ -289,22 +318,43 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, slac
         for batch in batches:
             nodes, sketches, keys = [], [], []
             for text in batch.column("text").cast(pa.binary()):
-                bins, least = sketch(shingle_hashes(words(text.as_py()), shingle))
+                hashes = np.unique(shingle_hashes(words(text.as_py()), shingle))
+                bins, least = sketch(hashes)
                 codes = np.zeros(BINS, np.uint8)
                 codes[bins] = least % np.uint64(255) + np.uint64(1)
-                nodes.append(xxhash.xxh64_intdigest(least.tobytes()))
+                nodes.append(xxhash.xxh64_intdigest(hashes.tobytes()))
                 sketches.append(codes.tobytes())
                 keys.append(np.array(segment_keys(bins, least), np.uint64).view(np.int64))
             made = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), *made], ["doc_id", "hash", "node", "sketch", "keys"])
 
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for ring, text in zip(batch.column("sketch").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
+                out.append(ring + np.unique(shingle_hashes(words(text.as_py()), shingle)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("key"), pa.array(out, pa.binary())], ["node", "key", "shingles"])
+
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
     made = written(rows.mapInArrow(run, f"doc_id {kind}, hash bigint, node bigint, sketch binary, keys array<bigint>"))
-    nodes = written(made.groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("keys").alias("keys")))
+    nodes = written(made.groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("keys").alias("keys"), F.min(F.struct("doc_id", "hash")).alias("at")))
     members = crowded(nodes.select("node", F.explode("keys").alias("key")), "node").join(nodes.select("node", "sketch"), "node")
     decode = lambda batch: np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
-    found = components(links_by_key(members, ["sketch"], "node", decode, near_minima(similarity - slack)))
+    loose = written(components(links_by_key(members, ["sketch"], "node", decode, near_minima(similarity - slack))).select("node", F.col("root").alias("key")))
+    # one document's text for each candidate node, whatever the number of its copies
+    asked = loose.join(nodes.select("node", "sketch", F.col("at.doc_id").alias("d_"), F.col("at.hash").alias("h_")), "node")
+    texts = rows.join(asked.hint("merge"), rows["doc_id"].eqNullSafe(asked["d_"]) & (rows["hash"] == asked["h_"]))
+    shingled = written(texts.select("node", "key", "sketch", "text").mapInArrow(sets, "node bigint, key bigint, shingles binary"))
+    shingled = shingled.dropDuplicates(["node"])
+    dealt = crowded(shingled.select("node", "key"), "node", CROWD_OF_SETS).join(shingled.select("node", "shingles"), "node")
+
+    def whole(batch: pa.RecordBatch) -> np.ndarray:
+        out = np.empty(batch.num_rows, object)
+        out[:] = batch.column("shingles").to_pylist()
+        return out
+
+    found = components(links_by_key(dealt, ["shingles"], "node", whole, near_shingles(similarity, slack)))
     return made.select("doc_id", "hash", F.col("node").alias("own")).join(found, F.col("own") == F.col("node"), "left").select("doc_id", "hash", F.coalesce("root", "own").alias("root"))
 
 
