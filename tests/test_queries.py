@@ -35,6 +35,11 @@ def test_query(spark, duck, name):
     assert not differences([tuple(r) for r in df.collect()], want.fetchall(), ordered=queries.plans()[name].node.kind == "sort")
 
 
+def test_composite_join_runs_over_the_whole_table(spark, duck):
+    rows = duck.sql("SELECT count(*) FROM lineitem WHERE l_partkey IS NOT NULL AND l_suppkey IS NOT NULL").fetchall()[0][0]
+    assert queries.queries()["join_composite"](spark, DATA).count() == rows
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(queries.queries()) <= set(__spark_entry__.queries())

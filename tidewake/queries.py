@@ -79,7 +79,7 @@ def plans() -> dict[str, Plan]:
     out["project_is_null"] = li.project([("k", c("l_orderkey")), ("x", is_null(div(n, zero)))])
     out["join_inner"] = pick(cu.join(od, ["c_custkey"], ["o_custkey"]), "c_custkey", "c_name", "o_orderkey", "o_totalprice")
     out["join_left"] = pick(cu.join(od.filter(gt(of(od, "o_totalprice"), f64(150_000))), ["c_custkey"], ["o_custkey"], "left"), "c_custkey", "c_name", "o_orderkey", "o_orderdate")
-    pairs = li.filter(lt(c("l_orderkey"), i64(2_000))).aggregate(["l_partkey", "l_suppkey"], [count_star("pairs")])
+    pairs = li.aggregate(["l_partkey", "l_suppkey"], [count_star("pairs")])
     out["join_composite"] = pick(li.join(_renamed(pairs, "p_"), ["l_partkey", "l_suppkey"], ["p_l_partkey", "p_l_suppkey"]), "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "p_pairs")
     kinds = _renamed(ev.aggregate(["event_type"], [count_star("n"), max_("value", "most")]), "k_")
     out["join_str_key"] = pick(ev.join(kinds, ["event_type"], ["k_event_type"]), "event_id", "event_type", "k_n", "k_most")
