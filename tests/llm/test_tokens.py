@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tests.llm.support import TEXTS, table, with_clashes
-from tidewake.llm import bpe, packing, shared, tokenfile, tokens
+from tidewake.llm import bpe, packing, shared, tokenfile, tokens, wordtable
 
 DATA = "/root/testdata/sf0.001"
 PATH = tokens.vocabulary()
@@ -33,10 +33,26 @@ def test_ids_equal_the_librarys(text):
     assert BACK([text])[0].tolist() == want
 
 
-def test_caches_may_empty(monkeypatch):
-    monkeypatch.setattr(tokens, "LIMIT", 3)
-    for t in ("one two three four five", "one six", "", "seven one"):
-        assert LIBRARY([t, t])[1].tolist() == ids(t)
+SOME = ["one two three four five", "one six", "", "seven one", "it's 12 we'll ''s don'tx " * 9, "a" * 40 + " " + "ab" * 30, "abcdefghij abcdefghik abcdefgh \u4e2d one \u4e2d'll"]
+
+
+@pytest.mark.parametrize("kind", [tokens.Encoder, bpe.Backtracking])
+def test_caches_may_empty(monkeypatch, kind):
+    monkeypatch.setattr(wordtable, "LIMIT", 6)
+    monkeypatch.setattr(wordtable, "STRETCH", 50)
+    monkeypatch.setattr(tokens, "KEPT", 50)
+    small = kind(PATH)
+    for _ in range(2):
+        for t in SOME:
+            assert small([t, t])[1].tolist() == ids(t)
+        assert [x.tolist() for x in small(SOME)] == [ids(t) for t in SOME]
+
+
+def test_words_of_one_tag_are_told_apart(monkeypatch):
+    monkeypatch.setattr(wordtable, "_mix", [np.uint64(0)] * 4)  # all words of 8 bytes or more have one tag, and all words one place
+    small = tokens.Encoder(PATH)
+    for _ in range(2):
+        assert [x.tolist() for x in small(SOME)] == [ids(t) for t in SOME]
 
 
 def test_every_entry_is_its_own_encoding():
@@ -59,6 +75,16 @@ def test_bpe(spark):
     assert bpe.op5_bpe(table(spark).limit(0)).collect() == []
 
 
+def test_long_texts(spark):
+    long = "word " * 400_000 + "x" * 300_000 + " 1" * 100_000
+    docs = table(spark, [(1, long), (2, "short")])
+    n = np.array([*ids(long), 1], "<u4")
+    assert {(r.doc_id, r.n_tokens, r.ids_crc32) for r in tokenfile.op10_tokenfile(docs).collect()} == {(1, len(n), zlib.crc32(n.tobytes())), (2, 2, zlib.crc32(np.array([*ids("short"), 1], "<u4").tobytes()))}
+    row = bpe.op5_bpe(docs).filter("doc_id = 1").first()
+    assert row.ids_sha256 == hashlib.sha256(" ".join(map(str, n[:-1])).encode()).hexdigest()
+    assert row.decoded_sha256 == hashlib.sha256(LIBRARY.library.decode(n[:-1].tolist(), skip_special_tokens=False).encode()).hexdigest()
+
+
 def test_token_file(spark):
     for docs in (shared.documents(spark, DATA), with_clashes(table(spark))):
         want, at = [], 0
@@ -74,9 +100,22 @@ def test_token_file(spark):
     assert tokenfile.op10_tokenfile(table(spark).limit(0)).collect() == []
 
 
+def test_documents_of_a_token_file(spark):
+    docs, folder = shared.documents(spark, DATA), shared.scratch(spark)
+    tokenfile.write(docs, folder, PATH, block_ids=3000)
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    asked = [*list(texts)[::17], -5]
+    got = {r.doc_id: r.ids for r in tokenfile.documents(spark, folder, asked).collect()}
+    assert got == {d: [*ids(texts[d]), 1] for d in asked if d in texts}
+    got = {r.doc_id: r.ids for r in tokenfile.documents(spark, folder, asked, 3, 9).collect()}
+    assert got == {d: [*ids(texts[d]), 1][3:9] for d in asked if d in texts}
+    assert tokenfile.documents(spark, folder, []).collect() == []
+
+
 @pytest.mark.parametrize("width", [1, 5, 8, 13, 16, 17, 24, 32])
-def test_bit_packing(width):
+def test_bit_packing(width, monkeypatch):
     rng = np.random.default_rng(width)
+    monkeypatch.setattr(tokenfile, "RUN", 64)
     n = rng.integers(0, 1 << width, 1000, np.uint64).astype("<u4")
     data = tokenfile.packed(n, width)
     assert len(data) == -(-1000 * width // 8)

@@ -16,18 +16,15 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .tokens import LIMIT, SPLIT, Encoder, encoder, groups, small_batches, vocabulary
+from .tokens import Encoder, encoder, groups, small, vocabulary
 
 END = 0x400  # added to a character's code where it ends a word
-#: ASCII and the letters of Latin-1 that have one lower-case form: normalising them is lower-casing.
-PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 
 
 class Backtracking(Encoder):
@@ -63,9 +60,6 @@ class Backtracking(Encoder):
             self.finder.add_word(t[::-1], t)
         self.finder.make_automaton()
         self.beside: dict[tuple[str, str], bool] = {}
-        #: What the byte-level pre-tokeniser makes of each letter outside ASCII.
-        self.letters = {c: self.library.pre_tokenizer.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100) if c != 0xF7}
-        self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 
     def fits(self, left: str, right: str) -> bool:
         """Whether merging in rank order keeps the border between two entries."""
@@ -120,30 +114,27 @@ class Backtracking(Encoder):
                 t = longest[at] if at < n else None
         return [self.id[t] for t in out]
 
-    def marked(self, w: str) -> bytes:
+    def words(self, words: list[str]) -> list[list[int]]:
+        return [self.marked(w.translate(self.letters)) for w in words]
+
+    def marked(self, w: str) -> list[int]:
         """The ids of one pre-token."""
-        if w not in self.words:
-            if len(self.words) > LIMIT:
-                self.words.clear()
-            self.words[w] = np.array(self.word(w[:-1] + chr(ord(w[-1]) + END)), "<u4").tobytes()
-        return self.words[w]
-
-    def piece(self, text: str) -> bytes:
-        if PLAIN.fullmatch(text) and "<|" not in text:
-            return b"".join([self.marked(w.translate(self.letters)) for w in SPLIT.findall(text.lower())])
-        out: list[bytes] = []
-        for part in self.cut.split(text) if self.cut else [text]:
-            if part in self.special:
-                out.append(np.array([self.special[part]], "<u4").tobytes())
-            elif part:
-                out += [self.marked(w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))]
-        return b"".join(out)
-
-    def whole(self, text: str) -> bytes:
-        return self.piece(text)
-
-    def fresh(self, pieces: list[str]) -> Iterable[bytes]:
-        return map(self.piece, pieces)
+        return self.word(w[:-1] + chr(ord(w[-1]) + END))
+
+    def piece(self, text: str) -> np.ndarray:
+        """The ids of any text: special tokens first, then the pre-tokens between them."""
+        out, at = [], 0
+        for m in [*self.cut.finditer(text), None]:
+            part = text[at : m.start() if m else len(text)]
+            for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part)):
+                out += self.marked(w)
+            if m:
+                out.append(self.special[m[0]])
+                at = m.end()
+        return np.array(out, "<u4")
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return list(map(self.piece, texts))
 
 
 class Table:
@@ -155,12 +146,17 @@ class Table:
         self.bytes = np.frombuffer(b"".join(strings), np.uint8)
 
     def __call__(self, ids: np.ndarray) -> bytes:
-        """The strings of ids on end, without the last byte, which is a separator."""
-        if not len(ids):
-            return b""
         length = self.length[ids]
         ends = np.cumsum(length)
-        return self.bytes[np.repeat(self.offset[ids] - ends + length, length) + np.arange(ends[-1])].tobytes()[:-1]
+        return self.bytes[np.repeat(self.offset[ids] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+
+    def sha256(self, ids: np.ndarray, most: int = 1 << 18) -> str:
+        """The digest of the strings of ids on end, without the last byte, which is a separator; `most` ids at a time."""
+        out = hashlib.sha256()
+        for a in range(0, len(ids), most):
+            part = self(ids[a : a + most])
+            out.update(part if a + most < len(ids) else part[:-1])
+        return out.hexdigest()
 
 
 def tables(library: object) -> tuple[Table, Table]:
@@ -171,20 +167,19 @@ def tables(library: object) -> tuple[Table, Table]:
 
 def op5_bpe(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or vocabulary()
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, Backtracking)
         if not hasattr(encode, "tables"):
             encode.tables = tables(encode.library)
         decimal, decoded = encode.tables
-        for batch in batches:
+        for batch in small(batches):
             n, sums, texts = [], [], []
             for _, run in groups(batch):
                 for ids in encode(run):
                     n.append(len(ids))
-                    sums.append(hashlib.sha256(decimal(ids)).hexdigest())
-                    texts.append(hashlib.sha256(decoded(ids)).hexdigest())
+                    sums.append(decimal.sha256(ids))
+                    texts.append(decoded.sha256(ids))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sums, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import written
-from .tokens import encoder, groups, small_batches, vocabulary
+from .tokens import encoder, groups, small, vocabulary
 
 CAPACITY = 2048
 END = 0
@@ -79,11 +79,10 @@ def released(room: list[int], bound: int, last: bool, capacity: int = CAPACITY)
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(path), np.array([END], "<u4")
-        for batch in batches:
+        for batch in small(batches):
             row, piece, start, length, crc = [], [], [], [], []
             for first, texts in groups(batch):
                 for k, ids in enumerate(encode(texts), first):

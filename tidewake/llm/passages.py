@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .shared import partitions, written
 from .simhash import words
-from .tokens import small_batches
+from .tokens import small
 
 GRAM, PAIR, LEAST = 8, 2, 50
 GAP_COST, GAP, MARGIN, JOIN = 0.1, 32, LEAST, 2
@@ -195,7 +195,7 @@ def joined(stretches: list[tuple[int, int, int, int]]) -> list[tuple[int, int, i
 
 def _links(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             parts = []
             for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
                 codes = word_hashes(text.as_py())
@@ -259,7 +259,7 @@ def _fetched(docs: DataFrame, chained: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, codes = None, np.empty(0, np.uint32)
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for n, (i, h, asks) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("id", "hash", "asks")), strict=True)):
                 if (i, h) != last:
@@ -277,7 +277,6 @@ SLICES = pa.schema([("doc", pa.int64()), ("a", pa.int32()), ("src", pa.int64()),
 
 def passages(docs: DataFrame) -> DataFrame:
     """doc_id, hash (of the text), start_word, end_word (exclusive), source_id, source_word of every passage."""
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), "text").filter("doc IS NOT NULL")
     chained = written(_chained(_links(rows)))
     slices = _fetched(rows, chained)
@@ -296,7 +295,7 @@ def passages(docs: DataFrame) -> DataFrame:
                 columns = [(d, h, a, e, s, c) for d, h, a, e, s, c in out]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*columns, strict=True), kinds, strict=True)], names)
 
-        for batch in batches:
+        for batch in small(batches, 1024):
             columns = {c: batch.column(c).to_pylist() for c in ("doc", "a", "src", "side", "hash", "low", "codes", "pos", "spos")}
             for d, a, src, side, h, low, codes, pos, spos in zip(*columns.values(), strict=True):
                 if d != doc:
@@ -339,7 +338,7 @@ def stage(docs: DataFrame) -> DataFrame:
     both = rows.join(found.hint("merge"), (rows["k_"] == found["d_"]) & (rows["x_"] == found["h_"]), "left").select("row_", "ranges_")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             row = batch.column("row_")
             fields = {f.name: row.field(k) for k, f in enumerate(row.type)}
             texts, keep, left = [], [], []

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import partitions, written
-from .tokens import small_batches
+from .tokens import small
 
 SEED = 42
 BLOCK = 4096
@@ -65,10 +65,9 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id and fp (the fingerprint's 64 bits as a long) of every document."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             made = [fingerprint(shingle_hashes(words(t.as_py()), shingle)) for t in batch.column("text").cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(made, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
@@ -312,10 +311,9 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, slac
     candidates link from similarity - slack. Their shingle sets then come together by component of candidates, and
     those with an index of `similarity` or more are linked. Texts with equal shingle sets are one node from the start.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             nodes, sketches, keys = [], [], []
             for text in batch.column("text").cast(pa.binary()):
                 hashes = np.unique(shingle_hashes(words(text.as_py()), shingle))
@@ -329,7 +327,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, slac
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), *made], ["doc_id", "hash", "node", "sketch", "keys"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for ring, text in zip(batch.column("sketch").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
                 out.append(ring + np.unique(shingle_hashes(words(text.as_py()), shingle)).tobytes())

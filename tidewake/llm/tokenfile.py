@@ -5,6 +5,7 @@ A data set is a Parquet folder, so any store that Spark writes to can hold it. E
     part, block   place in the order; parts follow one another, blocks follow one another in a part
     start         ids in the same part before the block
     width         bits an id: the least that holds the vocabulary's largest id
+    least, most   the block's least and largest doc_id, by which a reader skips row groups
     doc_ids       the block's documents in order
     offsets       ids in the block before each document, and after the last
     payload       the ids, most significant bit first, `width` bits each, padded with zeros to a whole byte
@@ -20,7 +21,7 @@ their text. Null text counts as empty (the end id alone); an empty table gives a
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -28,28 +29,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import partitions, scratch
-from .tokens import encoder, groups, ordered_parts, small_batches, vocabulary
+from .tokens import encoder, groups, ordered_parts, small, vocabulary
 
 END = 1
-BLOCK = "part int, block int, start bigint, width int, n_ids bigint, doc_ids array<bigint>, offsets array<bigint>, payload binary"
+BLOCK = "part int, block int, start bigint, width int, n_ids bigint, least bigint, most bigint, doc_ids array<bigint>, offsets array<bigint>, payload binary"
+
+
+#: Ids whose bits are laid out at once; a multiple of 8, so that each run but the last ends with a whole byte.
+RUN = 1 << 15
 
 
 def packed(ids: np.ndarray, width: int) -> bytes:
     if width in (8, 16, 32):
         return ids.astype(f">u{width // 8}").tobytes()
-    bits = np.unpackbits(ids.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)[:, 32 - width :]
-    return np.packbits(bits).tobytes()
+    runs = (ids[a : a + RUN].astype(">u4").view(np.uint8).reshape(-1, 4) for a in range(0, len(ids), RUN))
+    return b"".join(np.packbits(np.unpackbits(run, axis=1)[:, 32 - width :]).tobytes() for run in runs)
 
 
 def unpacked(payload: bytes, width: int, first: int, last: int) -> np.ndarray:
     """Ids first to last of a block."""
     if width in (8, 16, 32):
         return np.frombuffer(payload, f">u{width // 8}", last - first, first * width // 8).astype("<u4")
-    a = first * width
-    bits = np.unpackbits(np.frombuffer(payload, np.uint8)[a // 8 : -(-last * width // 8)])[a % 8 : a % 8 + (last - first) * width]
-    full = np.zeros((last - first, 32), np.uint8)
-    full[:, 32 - width :] = bits.reshape(-1, width)
-    return np.packbits(full, axis=1).view(">u4")[:, 0].astype("<u4")
+    out, data = np.empty(last - first, "<u4"), np.frombuffer(payload, np.uint8)
+    for k in range(first, last, RUN):
+        n, a = min(RUN, last - k), k * width
+        bits = np.unpackbits(data[a // 8 : -(-(k + n) * width // 8)])[a % 8 : a % 8 + n * width]
+        full = np.zeros((n, 32), np.uint8)
+        full[:, 32 - width :] = bits.reshape(-1, width)
+        out[k - first : k - first + n] = np.packbits(full, axis=1).view(">u4")[:, 0]
+    return out
 
 
 def write(docs: DataFrame, folder: str, path: str, block_ids: int = 1 << 16) -> None:
@@ -57,14 +65,13 @@ def write(docs: DataFrame, folder: str, path: str, block_ids: int = 1 << 16) ->
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
-    small_batches(spark)
     largest = max(END, Tokenizer.from_file(path).get_vocab_size() - 1)
     width, code = max(1, largest.bit_length()), "<u2" if largest < 1 << 16 else "<u4"
     limits = np.array(ordered_parts(docs, partitions(spark)), np.int64)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts_to_ids = encoder(path)
-        for batch in batches:
+        for batch in small(batches):
             made = [np.append(ids, np.uint32(END)).astype(code).tobytes() for _, texts in groups(batch) for ids in texts_to_ids(texts)]
             ids = batch.column("doc_id")
             part = np.searchsorted(limits, ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), "right")
@@ -74,8 +81,8 @@ def write(docs: DataFrame, folder: str, path: str, block_ids: int = 1 << 16) ->
         part, block, start, docs_in, ids_in, n = None, 0, 0, [], [], 0
 
         def block_of() -> pa.RecordBatch:
-            offsets = np.cumsum([0, *map(len, ids_in)]).tolist()
-            row = {"part": part, "block": block, "start": start, "width": width, "n_ids": n, "doc_ids": docs_in, "offsets": offsets, "payload": packed(np.concatenate(ids_in), width)}
+            offsets, named = np.cumsum([0, *map(len, ids_in)]).tolist(), [d for d in docs_in if d is not None]
+            row = {"part": part, "block": block, "start": start, "width": width, "n_ids": n, "least": min(named, default=None), "most": max(named, default=None), "doc_ids": docs_in, "offsets": offsets, "payload": packed(np.concatenate(ids_in), width)}
             return pa.RecordBatch.from_pylist([row], LAYOUT)
 
         for batch in batches:
@@ -97,7 +104,7 @@ def write(docs: DataFrame, folder: str, path: str, block_ids: int = 1 << 16) ->
     rows.mapInArrow(blocks, BLOCK).write.parquet(folder)
 
 
-LAYOUT = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("width", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("payload", pa.binary())])
+LAYOUT = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("width", pa.int32()), ("n_ids", pa.int64()), ("least", pa.int64()), ("most", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("payload", pa.binary())])
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
@@ -119,6 +126,33 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     return blocks.select("part", "start", "width", "doc_ids", "offsets", "payload").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
+def documents(spark: SparkSession, folder: str, doc_ids: Sequence[int], first: int = 0, last: int | None = None) -> DataFrame:
+    """doc_id and ids (from the first-th to before the last-th, the end id included) of the documents named.
+
+    Blocks without them are skipped by their least and largest doc_id; of the others only these documents' bits are unpacked.
+    """
+    wanted = sorted(set(doc_ids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = set(wanted)
+        for batch in batches:
+            found, out = [], []
+            for k in range(batch.num_rows):
+                width, names, offsets, payload = (batch.column(c)[k].as_py() for c in ("width", "doc_ids", "offsets", "payload"))
+                for d, a, b in zip(names, offsets, offsets[1:], strict=False):
+                    if d in asked:
+                        b = b if last is None else min(b, a + last)
+                        found.append(d)
+                        out.append(unpacked(payload, width, min(a + first, b), b))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "ids"])
+
+    blocks = spark.read.parquet(folder)
+    if not wanted:
+        return spark.createDataFrame([], "doc_id bigint, ids array<bigint>")
+    near = blocks.filter((F.col("most") >= wanted[0]) & (F.col("least") <= wanted[-1])).filter(F.arrays_overlap("doc_ids", F.array(*map(F.lit, wanted)).cast("array<bigint>")))
+    return near.select("width", "doc_ids", "offsets", "payload").mapInArrow(run, "doc_id bigint, ids array<bigint>")
+
+
 def op10_tokenfile(docs: DataFrame, path: str | None = None) -> DataFrame:
     folder = scratch(docs.sparkSession)
     write(docs, folder, path or vocabulary())

@@ -1,27 +1,25 @@
-"""Token ids of whole texts, by the tokenizers library, piece by piece with a bounded cache.
+"""Token ids of whole texts: those of their words, which are looked up many at once or handed to the tokenizers library.
 
 The vocabulary's normaliser turns each run of white space into one space and its pre-tokeniser never joins what white
-space separates, so a text's ids are those of its pieces in order. Pieces repeat, so each worker keeps the ids of the
-pieces that it has seen; the cache is emptied when it holds `LIMIT` of them. Texts with U+001C to U+001F, which Python
-takes for white space and the library does not, are encoded as a whole.
+space separates, so a text's ids are those of its pieces in order. Plain texts and pieces (see wordtable.py) go through
+the worker's word table; other pieces are encoded whole and kept, up to KEPT characters and ids in all. Texts with
+U+001C to U+001F, which Python takes for white space and the library does not, are encoded as a whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
 
-LIMIT = 500_000
-#: Texts of ASCII and those letters of Latin-1 that have one lower-case form: lower-casing first changes no id.
-SAFE = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*")
+from .wordtable import PLAIN, WordTable
+
+#: Characters and ids of pieces that are kept, and characters of the longest one.
+KEPT, LONGEST = 4_000_000, 100
 ODD = re.compile("[\x1c-\x1f]")
-#: How the vocabulary's pre-tokeniser splits a lower-cased piece of such a text.
-SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 _encoders: dict[str, Encoder] = {}
 
 
@@ -41,40 +39,58 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.known: dict[str, bytes] = {}
-
-        self.words: dict[str, bytes] = {}
-        size = self.library.get_vocab_size()
-        self.ending = np.array([(self.library.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.special = {t.content: n for n, t in self.library.get_added_tokens_decoder().items()}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def fresh(self, pieces: list[str]) -> Iterable[bytes]:
-        """The ids of each piece, from those of its words where it is plain; words met first are encoded many at once.
-
-        Each word's last entry, and no other, is one that ends words; so one long run of ids falls into words again.
-        """
-        plain = {p: SPLIT.findall(p.lower()) for p in pieces if SAFE.fullmatch(p) and "<" not in p}
-        if len(self.words) > LIMIT:
-            self.words.clear()
-        new = [w for w in set().union(*plain.values()) if w not in self.words]
-        if new:
-            ids = np.array(self.library.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
-            ends = (np.flatnonzero(self.ending[ids]) + 1).tolist()
-            data = ids.tobytes()
-            self.words.update((w, data[4 * a : 4 * b]) for w, a, b in zip(new, [0, *ends[:-1]], ends, strict=True))
-        words = self.words
-        return (b"".join([words[w] for w in plain[p]]) if p in plain else self.whole(p) for p in pieces)
+        self.cut = re.compile("|".join(map(re.escape, self.special)) or "(?!)")
+        #: What the byte-level pre-tokeniser makes of each letter outside ASCII.
+        self.letters = {c: self.library.pre_tokenizer.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100) if c != 0xF7}
+        self.table = WordTable(self.words)
+        self.known: dict[str, np.ndarray] = {}
+        self.kept = 0
+
+    def words(self, words: list[str]) -> list[list[int]]:
+        """The ids of plain words, by the library's model alone: they need no normalising and no splitting."""
+        model = self.library.model.tokenize
+        return [[t.id for t in model(w.translate(self.letters))] for w in words]
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def plain(self, text: str) -> bool:
+        return PLAIN.fullmatch(text) is not None and not self.cut.search(text)
+
+    def pieces(self, pieces: list[str]) -> dict[str, np.ndarray]:
+        """The ids of each piece that is not plain."""
+        known = {p: self.known.get(p) for p in pieces}
+        new = [p for p, ids in known.items() if ids is None]
+        for p, ids in zip(new, self.whole(new), strict=True):
+            known[p] = ids
+            if len(p) <= LONGEST:
+                if self.kept > KEPT:
+                    self.known.clear()
+                    self.kept = 0
+                self.known[p] = ids
+                self.kept += len(p) + len(ids) + 40
+        return known
+
+    def mixed(self, text: str) -> np.ndarray:
+        """The ids of a text by its pieces; runs of plain ones are one text to the word table."""
+        runs: list[list[str]] = [[]]
+        hard: list[str] = []
+        for p in text.split():
+            if self.plain(p):
+                runs[-1].append(p)
+            else:
+                hard.append(p)
+                runs.append([])
+        easy, known = self.table([" ".join(r) for r in runs]), self.pieces(hard)
+        return np.concatenate([easy[0], *(part for p, run in zip(hard, easy[1:], strict=True) for part in (known[p], run))])
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > LIMIT:
-            self.known.clear()
-        split = [t.lower().split() if SAFE.fullmatch(t) and "<|" not in t else None if ODD.search(t) else t.split() for t in texts]
-        new = [p for p in set().union(*filter(None, split)) if p not in self.known]
-        self.known.update(zip(new, self.fresh(new), strict=True))
-        return [np.frombuffer(self.whole(t) if s is None else b"".join(map(self.known.__getitem__, s)), "<u4") for t, s in zip(texts, split, strict=True)]
+        plain = [self.plain(t) for t in texts]
+        odd = [not p and ODD.search(t) is not None for p, t in zip(plain, texts, strict=True)]
+        easy = iter(self.table([t for t, p in zip(texts, plain, strict=True) if p]))
+        hard = iter(self.whole([t for t, o in zip(texts, odd, strict=True) if o]))
+        return [next(easy) if p else next(hard) if o else self.mixed(t) for t, p, o in zip(texts, plain, odd, strict=True)]
 
 
 def encoder(path: str, kind: type[Encoder] = Encoder) -> Encoder:
@@ -98,10 +114,11 @@ def groups(batch: pa.RecordBatch, most: int = 300_000) -> Iterator[tuple[int, li
         yield first, run
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 256 rows, so that long texts stay within a worker's memory."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 256:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 256)
+def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most `rows`, so that what is made of a batch stays small. Spark bounds batches by bytes."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
 
 
 def ordered_parts(docs, n: int) -> list[int]:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import partitions
-from .tokens import ordered_parts, small_batches
+from .tokens import ordered_parts, small
 
 GRAM, WINDOW = 12, 32
 STRETCH = 1 << 24
@@ -108,7 +108,6 @@ def op8_winnow(docs: DataFrame) -> DataFrame:
     Rows are dealt to ranges of doc_id that begin at ids in the table; the first row of a range goes to the range before
     it too (that of the whole table to the last), so that each range knows the document that follows it.
     """
-    small_batches(docs.sparkSession)
     starts = ordered_parts(docs, partitions(docs.sparkSession))
     least = docs.agg(F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("nulls")).first()
     starts = [x for x in starts if x != least["least"]]
@@ -144,7 +143,7 @@ def op8_winnow(docs: DataFrame) -> DataFrame:
         def made(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for p, guest, doc, text in zip(*(batch.column(c).to_pylist() for c in ("part", "guest", "doc_id")), batch.column("text"), strict=True):
                 codes = points(text.as_py() or "")
