@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import collections
 import random
+import time
 
 import pytest
 
@@ -40,10 +41,18 @@ def test_secrets_are_linked(spark):
     assert got[6].startswith("linked:1:21,")
 
 
-def test_many_spans_in_one_text(spark):
-    t = "a@b.cd " * 1500
+@pytest.mark.parametrize("n", [1, 63, 64, 65, 128, 4097, 100_000])
+def test_many_spans_in_one_text(spark, n):
+    """The time of any number of matches in one text is in proportion to it: 100,000 of them take seconds."""
+    t = "é a@b.cd " * n
+    began = time.monotonic()
     row = personal.op3_pii(table(spark, [(1, t)])).first()
-    assert row.n_email == 1500 and row.base_sha256 == spans_sha(t, PERSONAL)[0]
+    assert row.n_email == n and row.base_sha256 == spans_sha(t, PERSONAL)[0]
+    assert personal.stage(table(spark, [(1, t)])).first().text == "é [EMAIL] " * n
+    t = "é token: abcdefghijkl " * n
+    row = secrets.op1_secrets(table(spark, [(1, t)])).first()
+    assert row.n_assign == n and row.base_sha256 == spans_sha(t, SECRETS)[0]
+    assert time.monotonic() - began < 180
 
 
 def test_personal_data(spark, corpus):

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import let, listed, matched, quoted, text_of, written
+from .shared import before, let, listed, matched, quoted, text_of, written
 
 KINDS = ("email", "ip", "card", "phone", "local_phone", "national_id", "account", "birth_date", "name")
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
@@ -63,10 +63,10 @@ def _votes(kind: int) -> str:
     return " + ".join(f"{3**j} * ({v})" for j, v in enumerate(votes))
 
 
-def candidates(docs: DataFrame, *keep: str | Column) -> DataFrame:
-    """keep, base and weak: arrays of struct(s, o, e, v); v holds the votes."""
+def candidates(docs: DataFrame, *keep: str | Column, unit: str = "length") -> DataFrame:
+    """keep, base and weak: arrays of struct(s, o, e, v); v holds the votes. unit: see matched()."""
     df = docs.withColumn("t_", text_of(docs))
-    spans = [matched("t_", p, k, o, _votes(o)) for o, (p, k) in enumerate(BASE + WEAK)]
+    spans = [matched("t_", p, k, o, _votes(o), unit) for o, (p, k) in enumerate(BASE + WEAK)]
     df = df.select(*keep, F.expr(f"concat({', '.join(spans[:4])})").alias("base"), F.expr(f"concat({', '.join(spans[4:])})").alias("weak"))
     elsewhere = lambda c, n: F.expr(f"transform({c}, x -> struct(x.s AS s, x.o AS o, x.e AS e, x.v + {3**4} * (CASE WHEN size(base) > {n} THEN 2 ELSE 1 END) AS v))")
     return df.withColumns({"base": elsewhere("base", 1), "weak": elsewhere("weak", 0)})
@@ -125,9 +125,9 @@ def accepted(found: DataFrame) -> list[int]:
     return sorted(1000 * o + v for (o, v), p in scores.items() if o >= 4 and p >= 0.5)
 
 
-def scan(docs: DataFrame, *keep: str) -> DataFrame:
+def scan(docs: DataFrame, *keep: str, unit: str = "length") -> DataFrame:
     """keep, base and spans (arrays of struct(s, o, e); o is the place in KINDS) of every document."""
-    found = written(candidates(docs, *keep))
+    found = written(candidates(docs, *keep, unit=unit))
     codes = f"CAST(array({', '.join(map(str, accepted(found)))}) AS array<int>)"
     plain = lambda a: f"transform({a}, x -> struct(x.s AS s, x.o AS o, x.e AS e))"
     more = plain(f"filter(weak, x -> array_contains({codes}, 1000 * x.o + x.v))")
@@ -142,10 +142,13 @@ def op3_pii(docs: DataFrame) -> DataFrame:
 def stage(docs: DataFrame) -> DataFrame:
     """docs with each span replaced by its kind in brackets, n_chars (where there is one) made to fit; other columns as they are."""
     names = f"array({', '.join(quoted(f'[{k.upper()}]') for k in KINDS)})"
-    found = scan(docs.select(F.struct("*").alias("row_"), "text"), "row_")
-    # overlapping spans: the later one starts where the earlier one has ended, and vanishes where nothing is left of it
-    step = f"CASE WHEN x.e <= r.p THEN r ELSE named_struct('p', x.e, 'a', concat(r.a, array(substring(row_.text, r.p + 1, greatest(x.s - r.p, 0)), {names}[x.o]))) END"
-    clean = f"aggregate(spans, named_struct('p', 0, 'a', CAST(array() AS array<string>)), (r, x) -> {step}, r -> concat(array_join(r.a, ''), substring(row_.text, r.p + 1)))"
+    found = scan(docs.select(F.struct("*").alias("row_"), "text"), "row_", unit="octet_length")
+    # overlapping spans: the later one starts where those before it have ended, and vanishes where nothing is left of it.
+    # Bytes are cut, as Spark counts a text's code points from its beginning each time.
+    piece = f"CASE WHEN x.e > get(p_, i) THEN concat(CAST(substring(b_, get(p_, i) + 1, greatest(x.s - get(p_, i), 0)) AS STRING), {names}[x.o]) ELSE '' END"
+    rest = "CAST(substring(b_, array_max(transform(spans, x -> x.e)) + 1) AS STRING)"
+    ends = before("transform(spans, x -> x.e)", "greatest(s, y)")
+    clean = let("CAST(row_.text AS BINARY)", "b_", let(ends, "p_", f"concat(array_join(transform(spans, (x, i) -> {piece}), ''), {rest})"))
     text = F.expr(f"CASE WHEN size(spans) = 0 THEN row_.text ELSE {clean} END")
     out = found.withColumn("row_", F.col("row_").withField("text", text))
     if "n_chars" in docs.columns:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,52 +19,48 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-#: Where a caller wants to know which folders are made: see recorded().
-_record: list[str] | None = None
-
-
-@contextmanager
-def recorded(folders: list[str]) -> Iterator[None]:
-    """While it holds, folders made by scratch() are added to folders."""
-    global _record
-    _record = folders
-    try:
-        yield
-    finally:
-        _record = None
-
-
-def release(docs: DataFrame, folders: list[str]) -> None:
-    """Delete those folders that docs does not read, and take them from the list."""
-    read = docs.inputFiles()
-    jvm = docs.sparkSession.sparkContext._jvm
-    for path in [f for f in folders if not any(f.rpartition("/")[2] in r for r in read)]:
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(docs.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-        folders.remove(path)
-
-
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the one that the session names in spark.checkpoint.dir.
+    """A new folder below the one that the session names in spark.checkpoint.dir; it goes when the session's file system closes.
 
-    Only where that is unset, as in local tests, a temporary folder is taken. The folder goes when the session's
-    file system closes.
+    Only where that is unset and Spark runs in one process, as in local tests, a temporary folder is taken.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tidewake.scratch", None)
     if not base:
-        base = spark.conf.get("tidewake.scratch", None)
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="tidewake-")
-            spark.conf.set("tidewake.scratch", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tidewake-")
+        spark.conf.set("tidewake.scratch", base)
     path = f"{base.rstrip('/')}/tidewake-{uuid.uuid4().hex}"
-    if _record is not None:
-        _record.append(path)
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    for folders in _recorders.get():
+        folders.append(path)
     return path
 
 
+#: The lists to which scratch() adds each folder, in this thread or task: see recorded().
+_recorders: ContextVar[tuple[list[str], ...]] = ContextVar("recorders", default=())
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """While it holds, the folders that scratch() makes are added to the list that it gives."""
+    folders: list[str] = []
+    token = _recorders.set((*_recorders.get(), folders))
+    try:
+        yield folders
+    finally:
+        _recorders.reset(token)
+
+
+def drop(spark: SparkSession, folders: list[str]) -> None:
+    """Delete tables that nothing reads any more."""
+    for path in folders:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, survives the loss of executors, is computed once."""
     path = scratch(df.sparkSession)
@@ -90,26 +87,39 @@ def quoted(text: str) -> str:
 
 
 SPANS = "array<struct<s:int,o:int,e:int>>"
+#: Elements that are folded at once, and how many levels of such chunks there are: 64 ^ 3 elements cost about 64 steps
+#: each, and beyond that the number of chunks of the highest level counts squared.
+CHUNK, LEVELS = 64, 3
+
+
+def before(values: str, fold: str = "s + y", level: int = LEVELS) -> str:
+    """SQL: for each element of an array of ints the fold, from 0, of those before it.
+
+    aggregate() copies its accumulator at each step, so arrays never are in one: chunks are folded apart, then their totals.
+    """
+    n = f"_{level}"
+    direct = f"transform(a{n}, (x, i) -> aggregate(slice(a{n}, 1, i), 0, (s, y) -> {fold}))"
+    if level == 1:
+        return let(values, f"a{n}", direct)
+    totals = before(f"transform(c{n}, c -> aggregate(c, 0, (s, y) -> {fold}))", fold, level - 1)
+    inner = f"transform(c{n}, (c, k) -> transform(c, (x, i) -> aggregate(slice(c, 1, i), get(t{n}, k), (s, y) -> {fold})))"
+    chunked = let(f"transform(sequence(0, (size(a{n}) - 1) DIV {CHUNK}), k -> slice(a{n}, {CHUNK} * k + 1, {CHUNK}))", f"c{n}", let(totals, f"t{n}", f"flatten({inner})"))
+    return let(values, f"a{n}", f"CASE WHEN size(a{n}) <= {CHUNK} THEN {direct} ELSE {chunked} END")
 
 
-def matched(text: str, pattern: str, keep: str, order: int, note: str = "") -> str:
+def matched(text: str, pattern: str, keep: str, order: int, note: str = "", unit: str = "length") -> str:
     """SQL: array of struct(s, o, e) of the leftmost non-overlapping matches m of a Java pattern that hold keep.
 
-    o is order. note: SQL of an int, a fourth field v; in it and in keep, g is the text since the match before. regexp_extract_all() gives the matches and split() the pieces between them; running sums of their
-    lengths give places in code points. The fold keeps kept spans in a short list that is moved to a long one when
-    full, so that many matches in one text cost little more than their number.
+    o is order. note: SQL of an int, a fourth field v; in it and in keep, g is the text since the match before. Places
+    are in code points, or in bytes where unit is octet_length. regexp_extract_all() gives the matches, split() the pieces
+    between them; sums of the lengths before give places, so the cost is in proportion to the text and its matches.
     """
     none = f"CAST(array() AS {SPANS.replace('>>', ',v:int>>') if note else SPANS})"
-    span = f"struct(r.p + x.d AS s, {order} AS o, r.p + x.d + x.n AS e{', x.v AS v' * bool(note)})"
-    full = "size(r.a) >= 256"
-    step = (
-        f"named_struct('p', r.p + x.d + x.n, 'a', CASE WHEN NOT x.k THEN r.a WHEN {full} THEN array({span}) ELSE concat(r.a, array({span})) END, "
-        f"'b', CASE WHEN x.k AND {full} THEN concat(r.b, r.a) ELSE r.b END)"
-    )
-    fields = f"struct(length(g) AS d, length(m) AS n, coalesce({keep}, false) AS k{f', {note} AS v' * bool(note)})"
-    pieces = f"zip_with(m_, slice(g_, 1, size(m_)), (m, g) -> {fields})"
-    fold = f"aggregate({pieces}, named_struct('p', 0, 'a', {none}, 'b', {none}), (r, x) -> {step}, r -> concat(r.b, r.a))"
-    found = let(f"split({text}, {quoted(pattern)})", "g_", fold)
+    span = f"struct(get(p_, i) + {unit}(g) AS s, {order} AS o, get(p_, i) + get(w_, i) AS e{f', {note} AS v' * bool(note)})"
+    one = let("get(g_, i)", "g", f"CASE WHEN {keep} THEN {span} END")
+    found = let(before("w_"), "p_", f"filter(transform(m_, (m, i) -> {one}), x -> x IS NOT NULL)")
+    sizes = f"zip_with(m_, slice(g_, 1, size(m_)), (m, g) -> {unit}(g) + {unit}(m))"
+    found = let(f"split({text}, {quoted(pattern)})", "g_", let(sizes, "w_", found))
     return let(f"regexp_extract_all({text}, {quoted(pattern)}, 0)", "m_", f"CASE WHEN size(m_) = 0 THEN {none} ELSE {found} END")
 
 
