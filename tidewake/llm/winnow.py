@@ -5,9 +5,10 @@ one among equals, with its place. Any two texts that share a run of at least k +
 hash, and its places tell where. Texts shorter than a window keep the least hash of what they have, texts shorter than
 k the hash of themselves.
 
-A fingerprint string is the base64 of 64-bit big-endian words, (hash of 40 bits, place of 24 bits) in text order;
-places start again each 2^24 code points, where the text is cut into stretches that overlap by k - 1. The likeness of two
-fingerprints is the Jaccard index of their sets of hashes, 1 where both are empty.
+A fingerprint string is the base64 of 64-bit big-endian words in text order: a hash of 40 bits, then the lowest 24 bits
+of its place. Neighbours lie less than w apart, so places() counts on beyond 2^24. Long texts are hashed in stretches
+that overlap by k + w - 2 code points, so that each window lies in one. The likeness of two fingerprints is the Jaccard
+index of their sets of hashes, 1 where both are empty.
 
 Order: doc_id, null first; rows that share a doc_id by the hash of their text. Null text counts as empty; a table of
 one row is its own next; an empty table gives no rows.
@@ -28,7 +29,8 @@ from .shared import partitions
 from .tokens import ordered_parts, small
 
 GRAM, WINDOW = 12, 32
-STRETCH = 1 << 24
+STRETCH = 1 << 22
+PLACE = np.uint64((1 << 24) - 1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -61,15 +63,16 @@ def hashes(codes: np.ndarray, k: int) -> np.ndarray:
     return grams >> np.uint64(24)
 
 
-def _stretch(codes: np.ndarray, k: int, w: int) -> np.ndarray:
+def _stretch(codes: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """The kept hashes and their places."""
     n = len(codes)
     if not n:
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), np.empty(0, np.uint64)
     k = min(k, n)
     h = hashes(codes, k)
     m = len(h)
     # of equal hashes the larger place makes the lesser key
-    key = (h << np.uint64(24)) | (np.uint64(STRETCH - 1) - np.arange(m, dtype=np.uint64))
+    key = (h << np.uint64(24)) | (PLACE - np.arange(m, dtype=np.uint64))
     w = min(w, m)
     least, span = key, 1
     while span * 2 <= w:
@@ -78,14 +81,25 @@ def _stretch(codes: np.ndarray, k: int, w: int) -> np.ndarray:
     if span < w:
         least = np.minimum(least[: m - w + 1], least[w - span :])
     kept = least[np.concatenate([[True], least[1:] != least[:-1]])]
-    return (kept & ~np.uint64(STRETCH - 1)) | (np.uint64(STRETCH - 1) - (kept & np.uint64(STRETCH - 1)))
+    return kept >> np.uint64(24), PLACE - (kept & PLACE)
 
 
 def fingerprint(codes: np.ndarray, k: int = GRAM, w: int = WINDOW) -> np.ndarray:
     """The kept (hash, place) words of a text's code points, in order."""
-    if len(codes) <= STRETCH:
-        return _stretch(codes, k, w)
-    return np.concatenate([_stretch(codes[a : a + STRETCH], k, w) for a in range(0, len(codes) - k + 1, STRETCH - k + 1)])
+    step, all_hashes, all_places = STRETCH - (k + w - 2), [], []
+    for a in range(0, max(1, len(codes) - (k + w - 2)), step):
+        h, at = _stretch(codes[a : a + STRETCH], k, w)
+        all_hashes.append(h)
+        all_places.append(at + np.uint64(a))
+    h, at = np.concatenate(all_hashes), np.concatenate(all_places)
+    once = np.concatenate([[True], at[1:] != at[:-1]])[: len(at)]  # a border's two windows may keep the same place
+    return (h[once] << np.uint64(24)) | (at[once] & PLACE)
+
+
+def places(words: np.ndarray) -> np.ndarray:
+    """The whole places of a fingerprint's words."""
+    low = (words & PLACE).astype(np.int64)
+    return low + (np.cumsum(np.diff(low, prepend=0) < 0) << 24)
 
 
 def text_form(words: np.ndarray) -> str:
