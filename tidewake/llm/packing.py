@@ -3,8 +3,8 @@
 Documents become pieces of at most `capacity` ids. Pieces are dealt by their row number to partitions of about
 `per_part`, and each partition packs its own by best-fit decreasing. Lower bounds by dual feasible functions certify a
 partition's number of bins; a certified partition gives up only its emptiest bin, one with a gap every bin that is not
-nearly full. What is given up is dealt anew to fewer partitions and packed again, until one partition has the rest or
-nothing is left, so the bins lost over all partitions end in one of bounded size.
+nearly full. What is given up is dealt anew to fewer partitions and packed again, until one partition has the rest,
+nothing is left, or packing it again has saved no bin.
 
 Defined cases: null text counts as empty (its end id alone); repeated rows are packed each for itself; an empty table
 gives no rows; other columns of the input are ignored, by the stage too, whose result is the packing.
@@ -67,9 +67,9 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray,
     return bins, offsets, room
 
 
-def released(room: list[int], bound: int, last: bool, capacity: int = CAPACITY) -> set[int]:
-    """Bins to give up: none in the last round; with a gap all with more than a hundredth of room, else the emptiest if it has room."""
-    if last or not room:
+def released(room: list[int], bound: int, capacity: int = CAPACITY) -> set[int]:
+    """Bins to give up: with a gap all with more than a hundredth of room, else the emptiest if it has room."""
+    if not room:
         return set()
     if len(room) > bound:
         return {b for b, r in enumerate(room) if r * 100 > capacity}
@@ -98,12 +98,13 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
-def _packer(turn: int, last: bool, capacity: int) -> Callable[[pa.Table], pa.Table]:
+def _packer(turn: int, capacity: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         lengths = table.column("length").to_numpy()
         bins, offsets, room = best_fit(lengths, capacity)
-        free = released(room, lower_bound(lengths, capacity), last, capacity)
-        ids = (turn << 56) + (table.column("part_")[0].as_py() << 24) + bins
+        free = released(room, lower_bound(lengths, capacity), capacity)
+        # 16 bits of turn, 23 of partition, 24 of bin: a partition holds about per_part pieces and no more bins
+        ids = (turn << 47) + (table.column("part_")[0].as_py() << 24) + bins
         out = table.drop_columns(["part_", "row_"])
         for name, values in (("sequence_id", ids), ("offset", offsets), ("again_", np.isin(bins, list(free)))):
             out = out.append_column(name, pa.array(values))
@@ -112,23 +113,25 @@ def _packer(turn: int, last: bool, capacity: int) -> Callable[[pa.Table], pa.Tab
     return run
 
 
-def pack(items: DataFrame, per_part: int = 50_000, rounds: int = 6, capacity: int = CAPACITY) -> DataFrame:
+def pack(items: DataFrame, per_part: int = 50_000, capacity: int = CAPACITY) -> DataFrame:
     """items (with a column length of 1 to capacity) with sequence_id and offset."""
     left = written(items.withColumn("row_", F.monotonically_increasing_id()))  # written: the row numbers are fixed from here on
-    names = [*items.columns, "sequence_id", "offset", "again_"]
+    names = [*items.columns, "sequence_id", "offset"]
     out, schema = None, left.drop("row_").schema.add("sequence_id", "long").add("offset", "long").add("again_", "boolean").add("row_", "long")
-    for turn in range(rounds):
-        parts = max(1, -(-left.count() // per_part))
-        last = parts == 1 or turn == rounds - 1
-
+    rows, given, turn = left.count(), None, 0
+    while True:
+        parts = max(1, -(-rows // per_part))
         dealt = left.withColumn("part_", F.pmod(F.xxhash64("row_", F.lit(turn)), F.lit(parts)).cast("long"))
-        done = written(dealt.groupBy("part_").applyInArrow(_packer(turn, last, capacity), schema))
-        kept = done.filter(~F.col("again_")).select(*names[:-1])
+        done = written(dealt.groupBy("part_").applyInArrow(_packer(turn, capacity), schema))
+        # a bin has one piece at offset 0
+        first = F.col("offset") == 0
+        state = done.agg(F.count_if(first).alias("bins"), F.count_if("again_").alias("rows"), F.count_if(first & F.col("again_")).alias("given")).first()
+        last = parts == 1 or not state["rows"] or given is not None and state["bins"] >= given
+        kept = done.select(*names) if last else done.filter(~F.col("again_")).select(*names)
         out = kept if out is None else out.unionByName(kept)
         if last:
-            break
-        left = done.filter("again_").select(*items.columns, "row_")
-    return out
+            return out
+        left, rows, given, turn = done.filter("again_").select(*items.columns, "row_"), state["rows"], state["given"], turn + 1
 
 
 def op4_packing(docs: DataFrame, path: str | None = None) -> DataFrame:
