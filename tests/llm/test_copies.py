@@ -39,7 +39,7 @@ def test_simhash(spark):
     assert simhash.op6_simhash(table(spark).limit(0)).collect() == []
 
 
-def test_no_link_between_fingerprints_is_lost(spark, monkeypatch):
+def test_no_link_between_fingerprints_is_lost(spark):
     rng = np.random.default_rng(1)
     base, known = rng.integers(0, 1 << 63, 60, dtype=np.uint64), set()
     for i in range(900):
@@ -52,8 +52,8 @@ def test_no_link_between_fingerprints_is_lost(spark, monkeypatch):
     got = {r.node: r.root for r in components.components(simhash.near_fingerprints(df)).collect()}
     want = grouped([(signed(a), signed(b)) for a in known for b in known if (a ^ b).bit_count() <= 3], [signed(v) for v in known])
     assert {v: got.get(v, v) for v in want} == want
-    monkeypatch.setattr(simhash.crowded, "__defaults__", (5,))  # keys of more than five members in blocks
-    got = {r.node: r.root for r in components.components(simhash.near_fingerprints(df)).collect()}
+    # keys of more than five members are refined, then cut into blocks
+    got = {r.node: r.root for r in components.components(simhash.near_fingerprints(df, crowd=5)).collect()}
     assert {v: got.get(v, v) for v in want} == want
     x = np.array(sorted(known), np.uint64)
     plain = grouped(simhash.grown(x, simhash.near_bits(3)), range(len(x)))
@@ -249,7 +249,17 @@ def slow_winnow(t, k=winnow.GRAM, w=winnow.WINDOW):
     return out
 
 
-def test_winnowing(monkeypatch):
+def test_winnowing_of_long_texts(monkeypatch):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ab é😀") for _ in range(n)) for n in (0, 5, 42, 43, 44, 99, 100, 101, 158, 159, 700)] + ["ab" * 300]
+    plain = [winnow.fingerprint(winnow.points(t)).tolist() for t in texts]
+    monkeypatch.setattr(winnow, "STRETCH", 100)
+    assert [winnow.fingerprint(winnow.points(t)).tolist() for t in texts] == plain
+    words = np.array([5, (1 << 24) - 3, 20, 30, (1 << 24) - 1, 8], np.uint64)
+    assert winnow.places(words).tolist() == [5, (1 << 24) - 3, (1 << 24) + 20, (1 << 24) + 30, (1 << 25) - 1, (1 << 25) + 8]
+
+
+def test_winnowing():
     rng = random.Random(4)
     split = lambda words: [(int(x) >> 24, int(x) & 0xFFFFFF) for x in words]
     for n in (0, 1, 5, 12, 13, 42, 43, 44, 300):
@@ -263,8 +273,9 @@ def test_winnowing(monkeypatch):
 def test_winnow(spark):
     import hashlib
 
-    for docs in (shared.documents(spark, DATA), with_clashes(table(spark, [(d, t) for k, (d, t) in enumerate(TEXTS) if k != 5]))):
-        rows = sorted(((r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()), key=lambda x: (x[0] is not None, x[0] or 0))
+    for docs in (shared.documents(spark, DATA), with_clashes(table(spark))):
+        signed = lambda t: int(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).view(np.int64))
+        rows = sorted(((r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()), key=lambda x: (x[0] is not None, x[0] or 0, signed(x[1])))
         want = collections.Counter()
         for (d, t), (_, n) in zip(rows, rows[1:] + rows[:1], strict=True):
             half = len(t) // 2
@@ -287,4 +298,6 @@ def test_pipeline(spark):
     assert all(verdict[r.doc_id] for r in kept.collect())
     out = corpus_pipeline.run(spark, DATA)
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == {r.doc_id for r in kept.select("doc_id").collect()}
+    again = corpus_pipeline.run(spark, DATA)
+    assert out.count() == again.count()  # a second run takes nothing from the first one's result
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]

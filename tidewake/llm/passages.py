@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import partitions, written
+from .shared import drop, partitions, recorded, written
 from .simhash import words
 from .tokens import small
 
@@ -333,7 +333,9 @@ def cut(text: bytes, ranges: list[tuple[int, int]]) -> bytes:
 
 def stage(docs: DataFrame) -> DataFrame:
     """docs without their repeated passages, n_chars (where there is one) made to fit; rows with no word left go."""
-    found = written(passages(docs)).groupBy(F.col("doc_id").alias("d_"), F.col("hash").alias("h_")).agg(F.collect_set(F.struct("start_word", "end_word")).alias("ranges_"))
+    with recorded() as made:
+        found = written(passages(docs).groupBy(F.col("doc_id").alias("d_"), F.col("hash").alias("h_")).agg(F.collect_set(F.struct("start_word", "end_word")).alias("ranges_")))
+    drop(docs.sparkSession, made[:-1])
     rows = docs.select(F.struct("*").alias("row_"), F.col("doc_id").cast("long").alias("k_"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("x_"))
     both = rows.join(found.hint("merge"), (rows["k_"] == found["d_"]) & (rows["x_"] == found["h_"]), "left").select("row_", "ranges_")
 

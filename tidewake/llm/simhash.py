@@ -8,8 +8,8 @@ of 32 bits (8 starts x 3 pairs), and only fingerprints under one key are compare
 
 Equal fingerprints are one row from the start. Under a key, members are linked by growing groups: each member met is
 compared, vectorised, with those not yet reached, so a key of g near copies costs about g comparisons and g - 1 links,
-not g^2. Keys with one member are dropped before anything is compared; the members of a key with more than CROWD are
-dealt to blocks by hash, and each pair of blocks is a key of its own, so a task holds two blocks at most and no pair of
+not g^2. Keys with one member are dropped before anything is compared; those with more than CROWD are refined by one
+segment more, and what is still larger is dealt to blocks by hash, and each pair of blocks is a key of its own, so a task holds two blocks at most and no pair of
 members is lost. Components of the links are found by star steps over written tables.
 
 `near_groups`, for the pipeline, links whole documents at a Jaccard index of 0.8 or more of their five-word shingles. At
@@ -26,11 +26,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import partitions, written
+from .shared import drop, partitions, recorded, written
 from .tokens import small
 
 SEED = 42
@@ -157,13 +157,20 @@ def near_bits(differences: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray
     return lambda one, many: within(bits_apart(one, many), differences)
 
 
-def crowded(keyed: DataFrame, member: str, crowd: int = CROWD) -> DataFrame:
+def crowded(keyed: DataFrame, member: str, crowd: int = CROWD, finer: Column | None = None) -> DataFrame:
     """key and member of keys that have two members or more; keys of more than `crowd` as pairs of blocks.
 
+    finer: an array of keys that are tried first for members of such keys: any two that are to meet share one of them.
     The counts are a table, so that the join's sides are plain exchanges and a large key is split over tasks.
     """
     counts = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    both = keyed.join(counts, "key").withColumn("blocks", F.ceil(F.col("n") / crowd).cast("int"))
+    both = keyed.join(counts, "key")
+    if finer is not None:
+        few = both.filter(F.col("n") <= crowd).select(member, "key")
+        many = both.filter(F.col("n") > crowd).select(member, F.explode(finer).alias("key"))
+        # where no key is that large, the second pass reads and writes nothing
+        return few.unionByName(crowded(many, member, crowd)) if counts.filter(F.col("n") > crowd).limit(1).count() else few
+    both = both.withColumn("blocks", F.ceil(F.col("n") / crowd).cast("int"))
     own = F.pmod(F.xxhash64(F.lit("block"), member), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.xxhash64("key", F.least("own", k), F.greatest("own", k)))
     spread = F.when(F.col("blocks") == 1, F.array("key")).otherwise(pairs)
@@ -206,16 +213,23 @@ def links_by_key(keyed: DataFrame, columns: list[str], member: str, decode: Call
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def segment(k: int) -> F.Column:
+def segment(k: int) -> Column:
     return F.shiftrightunsigned("fp", 56 - 8 * k).bitwiseAND(F.lit(255))
 
 
-def near_fingerprints(fps: DataFrame, differences: int = 3) -> DataFrame:
-    """Links (a, b) that join all fingerprints (column fp, each once) which differ in at most `differences` bits."""
+def near_fingerprints(fps: DataFrame, differences: int = 3, crowd: int = CROWD) -> DataFrame:
+    """Links (a, b) that join all fingerprints (column fp, each once) which differ in at most `differences` bits.
+
+    The four segments beside a key's four hold at most three differences, so one of them is equal too: a key of more
+    than `crowd` members is dealt to four times as many of 40 bits before it is cut into blocks.
+    """
     sets = ring_keys(differences)
     # a key's segments and its number, hashed to 64 bits: where two keys meet by chance the comparison tells them apart
     keys = [F.xxhash64(F.lit(n), *(segment(k) for k in at)) for n, at in enumerate(sets)]
-    keyed = crowded(fps.select("fp", F.explode(F.array(*keys)).alias("key")), "fp")
+    others = F.array(*[F.array(*[F.lit(k) for k in range(8) if k not in at]) for at in sets])
+    finer = F.expr("transform(get(others, number), k -> xxhash64(key, k, shiftrightunsigned(fp, 56 - 8 * k) & 255L))")
+    rows = fps.select("fp", F.posexplode(F.array(*keys)).alias("number", "key")).withColumn("others", others)
+    keyed = crowded(rows, "fp", crowd, finer)
     return links_by_key(keyed, [], "fp", lambda batch: batch.column("fp").to_numpy().view(np.uint64), near_bits(differences))
 
 
@@ -224,8 +238,9 @@ def op6_simhash(docs: DataFrame) -> DataFrame:
     all_docs = written(fingerprints(docs))
     fps = written(all_docs.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = components(near_fingerprints(fps.select("fp")))
-    rooted = fps.join(found, fps["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    first = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # tables, so that a component with most of the fingerprints is split over tasks
+    rooted = written(fps.join(found, fps["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    first = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     named = rooted.join(first, "root").select("fp", "component_id")
     return all_docs.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -358,8 +373,10 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, slac
 
 def stage(docs: DataFrame) -> DataFrame:
     """One document of each group of near-duplicates: the least by (doc_id, hash of the text); all columns as they are."""
-    groups = near_groups(docs)
-    kept = groups.groupBy("root").agg(F.min(F.struct("doc_id", "hash")).alias("k")).select(F.col("k.doc_id").alias("d_"), F.col("k.hash").alias("h_"))
+    with recorded() as made:
+        groups = near_groups(docs)
+        kept = written(groups.groupBy("root").agg(F.min(F.struct("doc_id", "hash")).alias("k")).select(F.col("k.doc_id").alias("d_"), F.col("k.hash").alias("h_")))
+    drop(docs.sparkSession, made[:-1])
     rows = docs.select(F.struct("*").alias("row_"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
     both = rows.join(kept, rows["doc_id"].eqNullSafe(kept["d_"]) & (rows["hash"] == kept["h_"]), "left_semi")
     once = Window.partitionBy("doc_id", "hash").orderBy("hash")
