@@ -7,43 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewake.llm import packing, passages, pii, quality, simhash
-from tidewake.llm.shared import documents, recorded, release, written
+from tidewake.llm.shared import documents, drop, recorded, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: Folders of the stages called so far. As each stage's result is written before the next stage is called, what the next
-#: one's docs don't read can go then.
-_folders: list[str] = []
-
-
-def _clean(docs: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    release(docs, _folders)
-    with recorded(_folders):
-        return operator(docs)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or lie beyond their group's fences go."""
-    return _clean(docs, quality.stage)
+    return quality.stage(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity of 0.8 or more) stays."""
-    return _clean(docs, simhash.stage)
+    return simhash.stage(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that an earlier document has too are cut out."""
-    return _clean(docs, passages.stage)
+    return passages.stage(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of personal data are replaced by their kind."""
-    return _clean(docs, pii.stage)
+    return pii.stage(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, as pieces packed into sequences."""
-    return _clean(docs, packing.op4_packing)
+    return packing.op4_packing(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -59,7 +50,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """The packing of what the stages leave of documents. Tables that later stages don't read are deleted as they go."""
+    docs, held = documents(spark, sf_dir), []
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        with recorded() as made:
+            docs = written(stage(spark, docs, sf_dir))
+        drop(spark, held + made[:-1])
+        held = made[-1:]
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    drop(spark, held)  # the pieces are a table by now
+    return packed
