@@ -105,18 +105,22 @@ def test_asof(spark, how, tolerance):
 
 def test_asof_edges(spark):
     t = Tables(spark)
-    b, p = t.add("b", [TS, I64], [(10, 100), (20, 200), (30, 300), (N, 1)]), t.add("p", [TS], [(5,), (25,), (35,), (10,), (N,)])
-    same(t.run(p.asof_join(b, [], [], 0, 0)), [(25, 20, 200), (35, 30, 300), (10, 10, 100)])
-    same(t.run(p.asof_join(b, [], [], 0, 0, "left", 4)), [(5, N, N), (25, N, N), (35, N, N), (10, 10, 100), (N, N, N)])
-    b, p = t.add("b2", [I32, TS, I64], [(1, 10, 100), (1, 20, 200), (2, N, 999), (N, 5, 777)]), t.add("p2", [I32, TS], [(1, 25), (2, 30), (2, N), (N, 50)])
-    same(t.run(p.asof_join(b, [0], [0], 1, 1)), [(1, 25, 1, 20, 200)])
-    assert len(t.run(p.asof_join(b, [0], [0], 1, 1, "left"))) == 4
-    s, q = t.add("s", [STR, TS, I64], [("a", 1, 7), ("a", 1, 9)]), t.add("q", [STR, TS], [("a", 1), ("b", 2)])
-    same(t.run(q.asof_join(s, [0], [0], 1, 1)), [("a", 1, "a", 1, 9)])  # of ties the greatest
-    far, low = t.add("far", [TS], [(2**63 - 1,)]), t.add("low", [TS], [(-(2**63),)])
-    assert t.run(far.asof_join(low, [], [], 0, 0, "inner", 2**63 - 1)) == []
+    prices = t.add("prices", [STR, I64, TS, F64], [("oil", 1, 4, 70.5), ("oil", 1, 9, 71.0), ("oil", 1, 9, 71.5), ("oil", 2, 6, 3.0), ("tin", 1, N, 8.0), (N, 1, 2, 9.0), ("tin", N, 2, 9.5)])
+    asks = t.add("asks", [STR, I64, TS], [("oil", 1, 3), ("oil", 1, 4), ("oil", 1, 8), ("oil", 1, 50), ("oil", 2, 7), ("tin", 1, 60), (N, 1, 60), ("tin", N, 60), ("oil", 1, N)])
+    at = lambda *rest, **k: asks.asof_join(prices, [0, 1], [0, 1], 2, 2, *rest, **k)
+    hits = [("oil", 1, 4, "oil", 1, 4, 70.5), ("oil", 1, 8, "oil", 1, 4, 70.5), ("oil", 1, 50, "oil", 1, 9, 71.5), ("oil", 2, 7, "oil", 2, 6, 3.0)]  # of ties the greatest
+    missed = [("oil", 1, 3), ("tin", 1, 60), (N, 1, 60), ("tin", N, 60), ("oil", 1, N)]  # nulls match nothing
+    same(t.run(at()), hits)
+    same(t.run(at("left")), hits + [(*m, N, N, N, N) for m in missed])
+    same(t.run(at("inner", 3)), [hits[0], hits[3]])
+    when = t.add("moments", [TS], [(x,) for x in (2, 5, 8, N)])
+    marks = t.add("marks", [TS, BOOL], [(5, True), (7, False), (N, True)])
+    same(t.run(when.asof_join(marks, [], [], 0, 0, "left")), [(2, N, N), (5, 5, True), (8, 7, False), (N, N, N)])
+    same(t.run(when.asof_join(marks, [], [], 0, 0, "left", 0)), [(2, N, N), (5, 5, True), (8, N, N), (N, N, N)])
+    top, low = t.add("top", [TS], [(2**63 - 1,)]), t.add("low", [TS], [(-(2**63),)])
+    assert t.run(top.asof_join(low, [], [], 0, 0, "inner", 2**63 - 1)) == []  # the distance is over 2^63 - 1
     with pytest.raises(ValueError):
-        p.asof_join(b, [0], [0], 1, 1, "left", -1)
+        at("left", -1)
 
 
 def test_asof_without_keys_over_many_ranges(spark):
@@ -165,11 +169,15 @@ def test_sliding_without_keys_over_many_ranges(spark, preceding):
 def test_printing_and_validation():
     from tidewake.plans.plan import scan
 
+    trips = scan("trips", [("km", F64), ("seats", I32), ("city", STR), ("left", TS)])
+    far = trips.filter(gt(col(F64, 0), lit(F64, 12.5)))
+    lines = str(far.project([("place", col(STR, 2)), ("twice", add(col(I32, 1), col(I32, 1)))])).splitlines()
+    assert lines == ["Project [place=city, twice=(seats + seats)]", "  Filter (km > 12.5)", "    Scan [km:F64, seats:I32, city:STR, left:TS]"]
+    lines = str(far.aggregate(["city"], [max_("km", "most"), count("seats", "n")]).sort([SortKey("n"), SortKey("most", True, True)])).splitlines()
+    assert lines[:2] == ["Sort [2 ASC NULLS LAST, 1 DESC NULLS FIRST]", "  Aggregate keys=[city] aggs=[MAX(km) AS most, COUNT(seats) AS n]"] and len(lines) == 4
+    lines = str(trips.join(far, ["city"], ["city"], "left")).splitlines()
+    assert lines[0] == "Join LEFT left_keys=[2] right_keys=[2]" and [x[:6] for x in lines[1:]] == ["  Scan", "  Filt", "    Sc"]
     p = scan("t", [("c0", I32), ("c1", I64)])
-    assert str(p.filter(gt(col(I32, 0), lit(I32, 0))).project([("p0", col(I32, 0)), ("p1", add(col(I64, 1), lit(I64, 100)))])) == "Project [p0=c0, p1=(c1 + 100)]\n  Filter (c0 > 0)\n    Scan [c0:I32, c1:I64]\n"
-    grouped = p.aggregate([0], [count_star("n"), sum_(1, "s")])
-    assert str(grouped.sort([SortKey(1, True)])) == "Sort [1 DESC NULLS LAST]\n  Aggregate keys=[c0] aggs=[COUNT(*) AS n, SUM(c1) AS s]\n    Scan [c0:I32, c1:I64]\n"
-    assert str(p.join(p, [0], [0])) == "Join INNER left_keys=[0] right_keys=[0]\n  Scan [c0:I32, c1:I64]\n  Scan [c0:I32, c1:I64]\n"
     assert str(p.aggregate(["c0"], [count_star("n")])) == str(p.aggregate([0], [count_star("n")]))
     for bad in (lambda: p.filter(col(I32, 0)), lambda: p.aggregate(["nope"], [count_star("n")]), lambda: p.sort([9]), lambda: p.sort([]), lambda: p.aggregate([0], []), lambda: p.join(p, [0], [1]), lambda: p.join(p, [], []), lambda: p.filter(gt(col(I32, 1), lit(I32, 0))), lambda: p.window_tumbling([], "c0", 0, [count_star("n")]), lambda: p.window_sliding([], "c0", -1, [count_star("n")]), lambda: compressed_scan("t", [("s", STR)]), lambda: scan("s", [("s", STR)]).aggregate([], [sum_("s", "x")]), lambda: p.project([])):
         with pytest.raises(ValueError):

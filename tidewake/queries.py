@@ -84,8 +84,10 @@ def plans() -> dict[str, Plan]:
     kinds = _renamed(ev.aggregate(["event_type"], [count_star("n"), max_("value", "most")]), "k_")
     out["join_str_key"] = pick(ev.join(kinds, ["event_type"], ["k_event_type"]), "event_id", "event_type", "k_n", "k_most")
     out["join_fanout"] = pick(na.join(cu, ["n_nationkey"], ["c_nationkey"]), "n_name", "c_custkey")
-    out["join_semi"] = pick(cu.join(od, ["c_custkey"], ["o_custkey"], "semi"), "c_custkey")
-    out["join_anti"] = pick(cu.join(od, ["c_custkey"], ["o_custkey"], "anti"), "c_custkey")
+    # dear orders only, so that some customers have one and some have none
+    dear = od.filter(gt(of(od, "o_totalprice"), f64(450_000)))
+    out["join_semi"] = pick(cu.join(dear, ["c_custkey"], ["o_custkey"], "semi"), "c_custkey")
+    out["join_anti"] = pick(cu.join(dear, ["c_custkey"], ["o_custkey"], "anti"), "c_custkey")
     every = [count_star("n"), count("l_partkey", "c"), sum_("l_quantity", "s"), min_("l_extendedprice", "lo"), max_("l_extendedprice", "hi"), avg("l_linenumber", "a")]
     out["agg_global"] = li.aggregate([], every)
     out["agg_global_empty"] = li.filter(lt(q, f64(0))).aggregate([], every)
@@ -119,12 +121,30 @@ def plans() -> dict[str, Plan]:
     for name, how, tolerance in (("inner", "inner", None), ("left", "left", None), ("tol_inner", "inner", 6 * HOUR), ("tol_left", "left", 6 * HOUR)):
         out[f"asof_{name}"] = probe.asof_join(build, ["user_id"], ["v_user_id"], "ts", "v_ts", how, tolerance)
     out["asof_0key"] = probe.asof_join(build, [], [], "ts", "v_ts", "left")
+    # the second key is the event's own, so that a match by user alone is often wrong
     parity = lambda p, u, k: p.project([*((f.name, col(f.type, i)) for i, f in enumerate(p.schema)), (k, mod(of(p, u), i64(3)))])
-    out["asof_2key"] = parity(probe, "user_id", "g").asof_join(parity(build, "v_user_id", "v_g"), ["user_id", "g"], ["v_user_id", "v_g"], "ts", "v_ts")
+    out["asof_2key"] = parity(probe, "event_id", "g").asof_join(parity(build, "v_event_id", "v_g"), ["user_id", "g"], ["v_user_id", "v_g"], "ts", "v_ts")
     ticks = compressed_scan("events", TICKS)
     out["compressed_scan"] = ticks
     out["compressed_scan_filter_agg"] = ticks.filter(gt(of(ticks, "value"), f64(50))).aggregate(["user_id"], [count_star("n"), min_("value", "lo"), max_("ts", "hi")])
     out["deep_filter_join_agg_sort"] = li.filter(gt(q, f64(10))).join(od.filter(lt(of(od, "o_totalprice"), f64(200_000))), ["l_orderkey"], ["o_orderkey"]).aggregate(["o_orderpriority", "l_returnflag"], [count_star("n"), sum_("l_quantity", "s"), max_("o_orderdate", "hi")]).sort([SortKey("s", True), "o_orderpriority"])
+    # overflow gives infinities, 0 times one NaN, x / 0.0 null: all beside plain values
+    huge = mul(q, mul(f64(1e307), sub(n, i32(3))))
+    nan = li.project([("k", c("l_suppkey")), ("i", c("l_orderkey")), ("j", c("l_partkey")), ("x", add(mul(huge, f64(0)), div(q, f64(4)))), ("z", div(huge, cast(zero, F64)))])
+    x, z = of(nan, "x"), of(nan, "z")
+    out["nan_compare"] = nan.project([("i", of(nan, "i")), ("lt", lt(x, z)), ("eq", eq(x, x)), ("ne", ne(x, x)), ("ge", ge(z, x)), ("null", is_null(z))])
+    out["nan_filter"] = pick(nan.filter(logic_not(le(x, f64(5)))), "i", "j", "z")
+    out["nan_min_max"] = nan.aggregate(["k"], [count_star("n"), count("x", "c"), min_("x", "lo"), max_("x", "hi"), min_("z", "zlo"), max_("z", "zhi")])
+    out["nan_sort"] = nan.sort([SortKey("x", True), SortKey("z", False, True), "i", "j", "k"])
+    # times around 0 and null, null keys
+    seen = slim.project([("event_id", of(slim, "event_id")), ("user_id", of(slim, "user_id")), ("m", mod(of(slim, "user_id"), i64(4))), ("v", of(slim, "value"))])
+    near = seen.project([("event_id", of(seen, "event_id")), ("k", div(of(seen, "user_id"), of(seen, "m"))), ("t", div(mul(sub(of(seen, "event_id"), i64(2000)), i64(7)), mod(of(seen, "event_id"), i64(11)))), ("v", of(seen, "v"))])
+    out["tumbling_negative_null"] = near.window_tumbling([], "t", 500, [count_star("n"), min_("v", "lo"), max_("event_id", "hi")])
+    out["tumbling_null_key"] = near.window_tumbling(["k"], "t", 5000, [count_star("n"), sum_("event_id", "s")])
+    right = _renamed(near.filter(lt(of(near, "v"), f64(20))).aggregate(["k", "t"], [max_("event_id", "e")]), "r_")
+    out["asof_null"] = near.asof_join(right, ["k"], ["r_k"], "t", "r_t", "left", 900)
+    keyed = near.aggregate(["k"], [count_star("n")])
+    out["join_null_key"] = pick(near, "event_id", "k").join(_renamed(keyed, "r_"), ["k"], ["r_k"], "left")
     out["join_agg_nulls"] = left.aggregate(["o_orderstatus"], [count_star("n"), count("o_orderkey", "c"), sum_("o_orderkey", "s"), min_("o_totalprice", "lo"), avg("o_orderkey", "a")])
     return out
 

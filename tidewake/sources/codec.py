@@ -20,7 +20,6 @@ import numpy as np
 from tidewake.types import Type
 
 U64 = np.uint64
-MASK = (1 << 64) - 1
 
 
 def zigzag(v: np.ndarray) -> np.ndarray:
@@ -67,47 +66,76 @@ def decode_ints(data: bytes) -> np.ndarray:
     return np.cumsum(first, dtype=U64).view(np.int64)
 
 
+def _zeros(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Leading and trailing zeros of values that are not 0."""
+    filled = x.copy()
+    for k in (1, 2, 4, 8, 16, 32):
+        filled |= filled >> U64(k)
+    return 64 - np.bitwise_count(filled).astype(np.int64), np.bitwise_count((x & (~x + U64(1))) - U64(1)).astype(np.int64)
+
+
 def encode_floats(v: np.ndarray) -> bytes:
-    bits = v.astype(np.float64).view(U64).tolist()
-    if not bits:
+    if not len(v):
         return b""
-    out, before, lead, size = [format(bits[0], "064b")], bits[0], -1, 0
-    for b in bits[1:]:
-        x, before = b ^ before, b
-        if not x:
-            out.append("0")
-            continue
-        zeros = min(31, 64 - x.bit_length())
-        tail = (x & -x).bit_length() - 1
-        if lead >= 0 and zeros >= lead and tail >= 64 - lead - size:
-            out.append("10" + format(x >> (64 - lead - size), f"0{size}b"))
-        else:
-            lead, size = zeros, 64 - zeros - tail
-            out.append("11" + format(lead, "05b") + format(size & 63, "06b") + format(x >> tail, f"0{size}b"))
-    whole = "".join(out)
-    whole += "0" * (-len(whole) % 8)
-    return int(whole, 2).to_bytes(len(whole) // 8, "big")
+    bits = v.astype(np.float64).view(U64)
+    x = bits[1:] ^ bits[:-1]
+    some = np.flatnonzero(x)
+    zeros, tails = _zeros(x[some])
+    # the window in force depends on all before it: numbers only in this loop, bits are laid out after it
+    lead, end, leads, ends, opened = 65, 0, [], [], []
+    for z, t in zip(np.minimum(zeros, 31).tolist(), tails.tolist(), strict=True):
+        new = z < lead or t < end
+        if new:
+            lead, end = z, t
+        leads.append(lead)
+        ends.append(end)
+        opened.append(new)
+    lead, end, new = np.array(leads, np.int64), np.array(ends, np.int64), np.array(opened, bool)
+    size = 64 - lead - end
+    # a row for each value but the first: 2 bits of control, 11 of window, 64 of payload; `used` says which are written
+    rows, used = np.zeros((len(x), 77), np.uint8), np.zeros((len(x), 77), bool)
+    used[:, 0] = True
+    rows[some, 0] = used[some, 1] = 1
+    rows[some, 1] = new
+    window = (lead << 6 | size & 63).astype(">u2").view(np.uint8).reshape(-1, 2)
+    rows[some, 2:13] = np.unpackbits(window, axis=1)[:, 5:]
+    used[some, 2:13] = new[:, None]
+    rows[some, 13:] = np.unpackbits((x[some] >> end.astype(U64)).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    used[some, 13:] = np.arange(64) >= (64 - size)[:, None]
+    return bits[:1].astype(">u8").tobytes() + np.packbits(rows[used]).tobytes()
 
 
 def decode_floats(data: bytes, n: int) -> np.ndarray:
     if not n:
         return np.empty(0, np.float64)
-    bits = format(int.from_bytes(data, "big"), f"0{8 * len(data)}b")
-    value, at, lead, size = int(bits[:64], 2), 64, 0, 0
-    out = [value]
+    bits = np.unpackbits(np.frombuffer(data, np.uint8)).tobytes()
+    # first where each value's payload lies, by its control bits; then all payloads at once
+    at, lead, size, width = 64, 0, 0, 0
+    places, leads, sizes = [], [], []
     for _ in range(n - 1):
-        if bits[at] == "0":
+        if not bits[at]:
             at += 1
+            width = 0
         else:
-            if bits[at + 1] == "1":
-                lead, size = int(bits[at + 2 : at + 7], 2), int(bits[at + 7 : at + 13], 2) or 64
+            if bits[at + 1]:
+                window = int.from_bytes(data[at + 2 >> 3 : (at + 2 >> 3) + 3], "big") >> (13 - (at + 2 & 7)) & 2047
+                lead, size = window >> 6, window & 63 or 64
                 at += 13
             else:
                 at += 2
-            value ^= int(bits[at : at + size], 2) << (64 - lead - size)
-            at += size
-        out.append(value)
-    return np.array(out, U64).view(np.float64)
+            width = size
+        places.append(at)
+        sizes.append(width)
+        leads.append(lead)
+        at += width
+    place, size, lead = (np.array(c, np.int64) for c in (places, sizes, leads))
+    raw = np.frombuffer(data + bytes(9), np.uint8)
+    words = np.ndarray((len(raw) - 7,), ">u8", raw, strides=(1,))
+    shift = (place & 7).astype(U64)
+    value = (words[place >> 3].astype(U64) << shift) | (raw[(place >> 3) + 8].astype(U64) >> (U64(8) - shift))
+    x = np.where(size > 0, value >> (U64(64) - np.maximum(size, 1).astype(U64)) << np.clip(64 - lead - size, 0, 63).astype(U64), U64(0))
+    first = np.frombuffer(data[:8], ">u8").astype(U64)
+    return np.bitwise_xor.accumulate(np.concatenate([first, x])).view(np.float64)
 
 
 def encode(values: np.ndarray, kind: Type) -> bytes:
