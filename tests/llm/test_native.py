@@ -123,10 +123,22 @@ def test_urls(spark):
 def test_url_templates_learn_from_labels(spark):
     pages = [(i, f"http://h.com/a/{i}") for i in range(50)] + [(100 + i, f"http://h.com/b/n{i}x{i}") for i in range(50)] + [(200, "http://i.com/a/1")]
     labels = spark.createDataFrame([(i, 1) for i in range(30)] + [(100 + i, 0) for i in range(30)], "page_id long, bad int")
-    got = urls.judge(spark.createDataFrame(pages, "page_id long, url string"), labels=labels).collect()
+    got = urls.judge(spark.createDataFrame(pages, "page_id long, url string"), labels=labels, words=()).collect()
     assert {(r.host, r.template, r.verdict) for r in got} == {("h.com", "/a/*", "block"), ("h.com", "/b/*", "allow"), ("i.com", "/a/*", "allow")}
 
 
+def test_url_branches_are_merged(spark):
+    deep = "/".join("abcdefghij")
+    pages = [f"http://casino-win.com/{x}/{i}" for x in ("en", "de", "it") for i in range(2)]  # two pages a branch, six when merged
+    pages += [f"http://news.com/{x}/{i}" for x in ("sport", "art") for i in range(30)] + ["http://news.com/sport/casino"]  # one bad word in a clean branch
+    pages += [f"http://mall.com/pills/{i}" for i in range(12)] + ["http://mall.com/pills/about"] + [f"http://mall.com/shoes/{i}" for i in range(40)]
+    pages += [f"http://deep.com/{deep}/{x}/{i}" for x in ("xxx", "ok") for i in range(9)]
+    got = urls.op9_urls(spark.createDataFrame(list(enumerate(pages)), "page_id long, url string")).collect()
+    blocked = {pages[r.page_id] for r in got if r.verdict == "block"}
+    assert blocked == {p for p in pages if "casino-win" in p or "mall.com/pills" in p or "/xxx/" in p}
+    assert collections.Counter(tuple(r) for r in got) == in_duckdb("op9_urls", "pages", ["page_id", "url"], list(enumerate(pages)))
+
+
 def in_duckdb(name, table, columns, rows):
     import duckdb
     import pyarrow as pa
@@ -148,13 +160,27 @@ def test_secrets_equal_their_sql(spark):
     assert sum("linked" in r[5] for r in got) > 50
 
 
+def test_quality_equals_its_sql(spark):
+    rng = random.Random(4)
+    text = lambda: " ".join(rng.choice(["a", "bcd", "efghi", "#x", "some\nlines\nhere", "é😀"]) + str(rng.randint(0, 99)) for _ in range(rng.randint(5, 60))) + " again and once more" * rng.randint(0, 1) * 2
+    texts = [*TEXTS, *((100 + i, text()) for i in range(700))]
+    rows = [(d, t, rng.choice(["en", "de", None]), rng.choice(["s", "t", None])) for d, t in texts]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    want = in_duckdb("op7_quality", "documents", ["doc_id", "text", "lang", "source"], rows)
+    for _ in range(2):  # the same each time, however rows are dealt
+        assert collections.Counter(tuple(r) for r in rules.op7_quality(docs.repartition(rng.randint(1, 9))).collect()) == want
+    assert {r[7] for r in want if not r[6]} == {True, False}
+
+
 def test_urls_equal_their_sql(spark):
     rng = random.Random(3)
 
     def url():
-        path = "/".join(rng.choice(["de", "fr", "12", f"n{rng.randint(0, 400)}", "a.b", "", "7-x"]) for _ in range(rng.randint(0, 6)))
+        path = "/".join(rng.choice(["de", "fr", "12", f"n{rng.randint(0, 400)}", "a.b", "", "7-x", "Casino"]) for _ in range(rng.randint(0, 9)))
         return rng.choice(["http://", "https://", ""]) + rng.choice(["A.net", "b.example.com", "c.org", "d.com", "e.d.com"]) + rng.choice(["", "/"]) + path + rng.choice(["", "?q=1", "#z"])
 
     pages = [*((i, url()) for i in range(4000)), (7, None), (None, "http://d.com/de/1\n")]
     got = collections.Counter(tuple(r) for r in urls.op9_urls(spark.createDataFrame(pages, "page_id long, url string")).collect())
     assert got == in_duckdb("op9_urls", "pages", ["page_id", "url"], pages)
+    clashing = spark.createDataFrame([(i, u, 1, "x") for i, u in pages[:500]], "page_id long, url string, host int, template string")
+    assert collections.Counter(tuple(r) for r in urls.op9_urls(clashing).collect()) == in_duckdb("op9_urls", "pages", ["page_id", "url"], pages[:500])
