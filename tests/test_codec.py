@@ -75,6 +75,15 @@ def test_random_round_trips():
         assert codec.decode_ints(codec.encode_ints(bits.view(np.int64))).tolist() == bits.view(np.int64).tolist()
 
 
+def test_streams_that_end_within_a_window():
+    """Few meaningful bits, so that the last window's header and payload lie in the stream's last bytes."""
+    for shift in range(64):
+        for size in range(1, 12):
+            bits = np.array([0, ((1 << size) - 1) << shift & (1 << 64) - 1, 5], np.uint64)
+            for n in (2, 3):
+                assert codec.decode_floats(codec.encode_floats(bits[:n].view(np.float64)), n).view(np.uint64).tolist() == bits[:n].tolist()
+
+
 def test_known_bytes():
     assert codec.varints(np.array([0, 127, 128, 300], np.uint64)) == bytes([0, 127, 128, 1, 172, 2])
     assert codec.zigzag(np.array([0, -1, 1, -2])).tolist() == [0, 1, 2, 3]

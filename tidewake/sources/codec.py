@@ -109,6 +109,7 @@ def decode_floats(data: bytes, n: int) -> np.ndarray:
     if not n:
         return np.empty(0, np.float64)
     bits = np.unpackbits(np.frombuffer(data, np.uint8)).tobytes()
+    data += bytes(9)  # windows and payloads are read by whole bytes, beyond the stream's last one too
     # first where each value's payload lies, by its control bits; then all payloads at once
     at, lead, size, width = 64, 0, 0, 0
     places, leads, sizes = [], [], []
@@ -129,7 +130,7 @@ def decode_floats(data: bytes, n: int) -> np.ndarray:
         leads.append(lead)
         at += width
     place, size, lead = (np.array(c, np.int64) for c in (places, sizes, leads))
-    raw = np.frombuffer(data + bytes(9), np.uint8)
+    raw = np.frombuffer(data, np.uint8)
     words = np.ndarray((len(raw) - 7,), ">u8", raw, strides=(1,))
     shift = (place & 7).astype(U64)
     value = (words[place >> 3].astype(U64) << shift) | (raw[(place >> 3) + 8].astype(U64) >> (U64(8) - shift))
