@@ -27,8 +27,15 @@ def wrapping(spark: SparkSession) -> Iterator[None]:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share, below spark.checkpoint.dir; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidewake-")
+    """A new folder that driver and executors share, below spark.checkpoint.dir.
+
+    Only where that is unset and Spark runs in one process, as in local tests, a temporary folder is taken.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tidewake-")
     path = f"{base.rstrip('/')}/tidewake-{uuid.uuid4().hex}"
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
