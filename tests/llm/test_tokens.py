@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tests.llm.support import TEXTS, table, with_clashes
-from tidewake.llm import bpe, packing, shared, tokenfile, tokens, wordtable
+from tidewake.llm import bpe, packing, shared, simhash, tokenfile, tokens, wordtable
 
 DATA = "/root/testdata/sf0.001"
 PATH = tokens.vocabulary()
@@ -100,6 +100,32 @@ def test_token_file(spark):
     assert tokenfile.op10_tokenfile(table(spark).limit(0)).collect() == []
 
 
+def test_batches_stay_small(spark, monkeypatch):
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, most, plain = spark.conf.get(limit), 2 * shared.BATCH, tokens.small
+
+    def checked(batches):
+        for batch in batches:
+            if batch.slice(0, batch.num_rows - 1).nbytes > most:  # a long text may be the last of one
+                raise ValueError(f"{batch.nbytes} bytes in a batch")
+            yield from plain([batch])
+
+    monkeypatch.setattr(tokenfile, "small", checked)
+    monkeypatch.setattr(simhash, "small", checked)
+    texts = [(k, f"text {k} " * 1500) for k in range(1500)] + [(1500, "long " * shared.BATCH)]
+    docs = table(spark, texts).coalesce(1)
+    got = tokenfile.op10_tokenfile(docs).agg({"n_tokens": "sum", "doc_id": "count"}).first()
+    whole = [len(ids) + 1 for ids in tokens.encoder(PATH)([t for _, t in texts])]
+    assert (got["sum(n_tokens)"], got["count(doc_id)"]) == (sum(whole), 1501)
+    assert shared.written(simhash.fingerprints(docs)).count() == 1501
+    assert spark.conf.get(limit) == before
+    with shared.bounded(spark):
+        with pytest.raises(ZeroDivisionError), shared.bounded(spark):
+            raise ZeroDivisionError
+        assert spark.conf.get(limit) == str(shared.BATCH)
+    assert spark.conf.get(limit) == before
+
+
 def test_documents_of_a_token_file(spark):
     docs, folder = shared.documents(spark, DATA), shared.scratch(spark)
     tokenfile.write(docs, folder, PATH, block_ids=3000)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -61,10 +62,41 @@ def drop(spark: SparkSession, folders: list[str]) -> None:
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: Bytes after which a batch of rows for a Python worker ends. A task holds a batch several times over, outside the JVM's
+#: heap: vectors that grow by doubling, the message, the worker's copy. Spark's own limit is 64 MB.
+BATCH = 4 << 20
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+_bounding = threading.Lock()
+#: By session: how many plans run under BATCH just now, and what the caller had set.
+_bounded: dict[str, tuple[int, str | None]] = {}
+
+
+@contextmanager
+def bounded(spark: SparkSession) -> Iterator[None]:
+    """While it holds, batches of the session's plans end at BATCH bytes; then the caller's limit holds again."""
+    session = spark._jsparkSession.sessionUUID()
+    with _bounding:
+        plans, theirs = _bounded.get(session, (0, spark.conf.get(_BYTES, None)))
+        _bounded[session] = plans + 1, theirs
+        spark.conf.set(_BYTES, str(BATCH))
+    try:
+        yield
+    finally:
+        with _bounding:
+            plans, theirs = _bounded.pop(session)
+            if plans > 1:
+                _bounded[session] = plans - 1, theirs
+            elif theirs is None:
+                spark.conf.unset(_BYTES)
+            else:
+                spark.conf.set(_BYTES, theirs)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, survives the loss of executors, is computed once."""
     path = scratch(df.sparkSession)
-    df.write.parquet(path)
+    with bounded(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

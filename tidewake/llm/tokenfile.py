@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import partitions, scratch
+from .shared import bounded, partitions, scratch
 from .tokens import encoder, groups, ordered_parts, small, vocabulary
 
 END = 1
@@ -101,7 +101,8 @@ def write(docs: DataFrame, folder: str, path: str, block_ids: int = 1 << 16) ->
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
     rows = rows.mapInArrow(encode, "part int, doc_id bigint, hash bigint, ids binary")
     rows = rows.repartitionById(len(limits) + 1, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "hash")
-    rows.mapInArrow(blocks, BLOCK).write.parquet(folder)
+    with bounded(spark):
+        rows.mapInArrow(blocks, BLOCK).write.parquet(folder)
 
 
 LAYOUT = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("width", pa.int32()), ("n_ids", pa.int64()), ("least", pa.int64()), ("most", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("payload", pa.binary())])
