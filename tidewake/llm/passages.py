@@ -40,21 +40,8 @@ PERIOD = (LEAST - GRAM + 1) // 2
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-class Hashes(dict):
-    """The hash of each word, kept while the table is small."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_hashes = Hashes()
-
-
 def word_hashes(text: bytes | None) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words(text)), np.uint64)
+    return np.fromiter(map(xxhash.xxh64_intdigest, words(text)), np.uint64)
 
 
 def runs(codes: np.ndarray, k: int) -> np.ndarray:
